@@ -7,10 +7,28 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import canon, cap, mixture, split, terms, tokens
+from tamis.llm import canon, cap, langid, mixture, split, subject, terms, tokens
 from tamis.session import cut, read_table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of `chunks` and `qcm` with their labels: `origine`, `cle`, `langue`, `le`, `texte`."""
+    tables = (("chunks", "i", "charge_le", "texte"), ("qcm", "ligne", "recu_le", "requete"))
+    a, b = (read_table(spark, sf_dir, t).select(F.lit(t).alias("origine"), F.col(k).alias("cle"), "langue", F.col(at).alias("le"), F.col(x).alias("texte")) for t, k, at, x in tables)
+    return a.unionByName(b)
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir)
+    return langid.languages(rows, "texte", ["origine", "cle", "langue", "le"], langid.train(rows, "texte", "langue"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = langid.mislabelled(p1_languages(spark, sf_dir), "langue").where("cle is not null")
+    once = cases.groupBy("origine", "cle").agg(F.min_by(F.col("segments.langue"), F.coalesce("le", F.lit("9999-01-01").cast("timestamp"))).alias("langues"))
+    return once.select("origine", "cle", F.posexplode("langues").alias("seg", "langue")).withColumn("seg", F.col("seg").cast("bigint"))
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = partial(read_table, spark, sf_dir)
     rows = split.passages(read("chunks").select("i", "doc", "page", "off", "texte", "lot", "charge_le"), read("manifest"))
@@ -66,6 +84,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(mixture.select(found, plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares)}
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = subject.train(documents, read_table(spark, sf_dir, "etiquettes"), read_table(spark, sf_dir, "domaines"))
+    return subject.subjects(documents, model, ["doc_id"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", F.explode("domaines").alias("d")).where("d.traite").select("doc_id", F.col("d.domaine").alias("domaine")).distinct()
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject.composition(p8_subjects(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
 
 ORACLE: dict[str, str] = {}
