@@ -88,10 +88,9 @@ def all_cosines(rows: DataFrame, query_vector: list[float], key: str, vector: st
 def margins(rows: DataFrame, query_vector: list[float], key: str, vector: str, relevant: str) -> DataFrame:
     """One row: best relevant less best other (`marge`), the same of the medians (`marge_medianes`), rank of the first relevant."""
     c = rows.select(F.col(relevant).alias("r"), F.round(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query_vector])), 6).alias("cos"))
-    best = c.where("r").agg(F.max("cos").alias("b"))
-    out = c.crossJoin(F.broadcast(best)).agg(
+    best = F.lit(c.where("r").agg(F.max("cos")).first()[0]).cast("double")
+    return c.agg(
         F.round(F.max(F.when(F.col("r"), F.col("cos"))) - F.max(F.when(~F.col("r"), F.col("cos"))), 6).alias("marge"),
         F.round(F.median(F.when(F.col("r"), F.col("cos"))) - F.median(F.when(~F.col("r"), F.col("cos"))), 6).alias("marge_medianes"),
-        (F.count_if(F.col("cos") > F.col("b")) + 1).alias("rang_premier"),
+        (F.count_if(F.col("cos") > best) + 1).alias("rang_premier"),
     )
-    return out

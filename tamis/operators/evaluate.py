@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def recall_at_k(ranked: DataFrame, truth: DataFrame, query: str, key: str, ranks: dict[str, str], k: int = 8) -> DataFrame:
     """`liste`, `questions` (with truth), `trouvees` (with one of it among the first `k`), `rappel`. `ranks`: list name -> column."""
     t = truth.select(query, key).distinct()
-    n = t.agg(F.count_distinct(query).alias("questions"))
+    n = t.agg(F.count_distinct(query)).first()[0]
     hits = ranked.join(t, [query, key], "left_semi")
     each = hits.agg(*[F.count_distinct(F.when(F.col(c) <= k, F.col(query))).alias(name) for name, c in ranks.items()])
     rows = each.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ranks)), F.array(*ranks))).alias("liste", "trouvees"))
-    return rows.crossJoin(F.broadcast(n)).select("liste", "questions", "trouvees", F.round(F.try_divide("trouvees", "questions"), 6).alias("rappel"))
+    return rows.select("liste", F.lit(n).cast("bigint").alias("questions"), "trouvees", F.round(F.try_divide("trouvees", F.lit(n)), 6).alias("rappel"))
 
 
 def by_score(rows: DataFrame, score: str, positive: str, decimals: int = 4) -> DataFrame:
@@ -38,8 +38,8 @@ def threshold_sweep(rows: DataFrame, score: str, positive: str, decimals: int =
 
 def zero_leak(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: the highest negative score, the lowest positive one above it, the middle of the trough between them, and the positives it refuses."""
-    hi = rows.where(~F.col(positive)).agg(F.max(score).alias("plancher"))
-    out = rows.where(F.col(positive)).crossJoin(F.broadcast(hi)).groupBy("plancher").agg(F.min(F.when(F.col(score) > F.col("plancher"), F.col(score))).alias("plafond"), F.count_if(F.col(score) <= F.col("plancher")).alias("refuses"), F.count(score).alias("sur"))
+    hi = F.lit(rows.where(~F.col(positive)).agg(F.max(score)).first()[0]).cast("double")
+    out = rows.where(F.col(positive)).withColumn("plancher", hi).groupBy("plancher").agg(F.min(F.when(F.col(score) > F.col("plancher"), F.col(score))).alias("plafond"), F.count_if(F.col(score) <= F.col("plancher")).alias("refuses"), F.count(score).alias("sur"))
     return out.withColumn("milieu", F.round((F.col("plancher") + F.col("plafond")) / 2, 6))
 
 

@@ -12,13 +12,13 @@ from tamis.session import cut, small
 
 def score_statistics(candidates: DataFrame, selection: DataFrame, query: str) -> DataFrame:
     """Per query the statistics that need scores only; null where a list or the selection is empty (agreement, bm25_top1: 0)."""
-    at = lambda r, n: F.max(F.when(F.col(r) == n, F.col("cos")))
     by_query = candidates.groupBy(query).agg(
-        at("rang_dense", 1).alias("cos_top1_dense"),
-        F.round(at("rang_dense", 1) - at("rang_dense", 2), 6).alias("ecart_dense_1_2"),
+        F.sort_array(F.collect_list(F.when(F.col("rang_dense").isNotNull(), F.struct("rang_dense", "i", "cos")))).alias("d"),
         (F.count_if((F.col("rang_bm25") <= 10) & (F.col("rang_dense") <= 10)) / 10.0).alias("accord_bm25_dense_top10"),
-        F.coalesce(F.max(F.when(F.col("rang_bm25") == 1, F.col("score_bm25"))), F.lit(0.0)).alias("bm25_top1"),
+        F.coalesce(F.min_by(F.when(F.col("rang_bm25").isNotNull(), F.col("score_bm25")), F.coalesce("rang_bm25", F.lit(1 << 30))), F.lit(0.0)).alias("bm25_top1"),
     )
+    first, second = (F.try_element_at("d", F.lit(k)).cos for k in (1, 2))
+    by_query = by_query.select(query, first.alias("cos_top1_dense"), F.round(first - second, 6).alias("ecart_dense_1_2"), "accord_bm25_dense_top10", "bm25_top1")
     cos = F.transform("retenus", lambda r: r.cos)
     kept = selection.select(
         query,
