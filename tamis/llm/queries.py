@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import canon, cap, langid, mixture, split, subject, terms, tokens
+from tamis.llm.oracle import ORACLE  # noqa: F401
 from tamis.session import cut, read_table
 
 
@@ -99,5 +100,3 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
-
-ORACLE: dict[str, str] = {}
