@@ -74,7 +74,7 @@ _TABLE = _Table()
 
 def by_table(text: str) -> str:
     """The consistent form of any text, by the table alone."""
-    text = unicodedata.normalize("NFC", text).translate(_TABLE)
+    text = unicodedata.normalize("NFD", text).translate(_TABLE)
     return unicodedata.normalize("NFC", _LINE_END.sub(lambda m: "\n" if m.group().strip(" \t") else "", text))
 
 

@@ -64,7 +64,8 @@ def symbols() -> tuple[np.ndarray, np.ndarray]:
             sym[code] = APOSTROPHE
         elif cat[0] == "L":
             low = LOOK_ALIKES.get(c, unicodedata.normalize("NFKC", c)).lower()[:1]
-            sym[code] = own.get(low) or own.get(unicodedata.normalize("NFD", low)[:1], OTHER)
+            base = unicodedata.normalize("NFD", low)[:1]
+            sym[code] = own.get(low) or own.get(LOOK_ALIKES.get(base, base).lower(), OTHER)
         if c in ".!?…":
             kind[code] = 1
         elif c in "\n\r\x0b\x0c\x85  ":

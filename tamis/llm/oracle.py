@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from tamis.llm.canon import LIGATURES, LOOK_ALIKES
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CHUNKS = "c1 AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY i ORDER BY charge_le) = 1)"
 _BLANKS = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_FROM = "".join(LOOK_ALIKES) + _WIDE + _BLANKS
-_TO = ("".join(LOOK_ALIKES.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + " " * len(_BLANKS)).replace("'", "''")
+#: Letters of other scripts with a mark, whose base is a look-alike.
+_MARKED = {c: n for c in map(chr, range(0x370, 0x530)) if (d := unicodedata.normalize("NFD", c))[0] in LOOK_ALIKES and len(d) == 2 and len(n := unicodedata.normalize("NFC", LOOK_ALIKES[d[0]] + d[1])) == 1}
+_FROM = "".join(LOOK_ALIKES) + "".join(_MARKED) + _WIDE + _BLANKS
+_TO = ("".join(LOOK_ALIKES.values()) + "".join(_MARKED.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + " " * len(_BLANKS)).replace("'", "''")
 _IGNORED = r"[\x{ad}\x{34f}\x{61c}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}\x{e0001}-\x{e007f}]"
 
 
