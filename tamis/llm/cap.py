@@ -123,7 +123,7 @@ def cap_candidates(candidats: DataFrame, chunks: DataFrame, sources: DataFrame,
     lists = first_delivery(candidats.select("ligne", "calib", "i", "rrf", "calcule_le"), ["ligne", "i"], "calcule_le")
     docs = first_delivery(chunks.select("i", "charge_le", source_key(F.col("doc")).alias("cle_source")), ["i"], "charge_le").select("i", "cle_source")
     ids = small(cut(sources.where("id is not null").groupBy(source_key(F.col("id")).alias("cle_source")).agg(F.min("id").alias("id"))))
-    caps = small(cut(seuils.where("calib is not null").groupBy("calib").agg(F.max_by("parametres_retrieve_au_moment_.max_par_doc", "calibre_le").alias("plafond"))))
+    caps = small(cut(seuils.where("calib is not null").groupBy("calib").agg(F.max_by("parametres_retrieve_au_moment_.max_par_doc", F.coalesce("calibre_le", F.lit("1970-01-01").cast("timestamp"))).alias("plafond"))))
     rows = lists.join(docs, "i", "left").join(ids, "cle_source", "left").join(caps, "calib", "left")
     rows = rows.select("ligne", "i", F.nanvl("rrf", F.lit(None).cast("double")).alias("rrf"), F.coalesce("id", "cle_source").alias("source"), "plafond")
     return cap_contributors(rows, ["ligne", "source"], [F.col("rrf").desc_nulls_last(), F.col("i").asc_nulls_last()], "plafond", exempt=F.col("source").isNull())

@@ -38,7 +38,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = p2_pieces(spark, sf_dir).groupBy("i", "charge_le").agg(F.max("forcee").alias("f"))
-    return cases.groupBy("i").agg(F.min_by("f", "charge_le").alias("f")).select("i", F.when(F.col("f"), "forcee").otherwise("naturelle").alias("coupe"))
+    return cases.groupBy("i").agg(F.min_by("f", F.coalesce("charge_le", F.lit("9999-01-01").cast("timestamp"))).alias("f")).select("i", F.when(F.col("f"), "forcee").otherwise("naturelle").alias("coupe"))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

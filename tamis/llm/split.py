@@ -111,7 +111,7 @@ def split(text: str, limit: int, least: int = 0, overlap: int = 0) -> list[Piece
     out: list[Piece] = []
     k, first = 0, 0
     while k < len(units):
-        start = units[k][0]
+        start, back = units[k][0], k
         if k:
             back = max(first, k - overlap)
             while back < k and (units[k][1] - units[back][0] > limit or units[back][2]):
@@ -125,7 +125,7 @@ def split(text: str, limit: int, least: int = 0, overlap: int = 0) -> list[Piece
                 e = ends[bisect_right(ends, start + limit) - 1]
         last = bisect_left(ends, e, k)
         out.append(Piece(start, units[last][1], units[k][0], any(u[2] for u in units[k : last + 1])))
-        first, k = k, last + 1
+        first, k = back, last + 1
     return out
 
 

@@ -125,17 +125,18 @@ def _by_sentence(w: np.ndarray, small: np.ndarray, start: np.ndarray) -> np.ndar
     return np.stack([np.add.reduceat(np.ascontiguousarray(w[:, c])[small], start) for c in range(w.shape[1])], 1)
 
 
-def attribute(s: Sentences, given: np.ndarray, rounds: int = 6, smoothing: float = 3.0, weak: float = 2.5, margin: float = 1.5) -> np.ndarray:
+def attribute(s: Sentences, given: np.ndarray, rounds: int = 6, smoothing: float = 3.0, weak: float = 0.215, margin: float = 1.5) -> np.ndarray:
     """Posterior (sentences, areas + 1) that a sentence speaks of an area or, last, of none. `given` (documents, areas)
     has 1 where an area was given to a document; documents without any help from the second round on.
 
     Expectation-maximisation. Each n-gram has a share per area, from the sentences of that area and, for sentences of none,
     from the areas of their documents, so that words of none are spread evenly. An n-gram speaks for an area only as far as
-    its share is more than `weak` times an even one; what a sentence's n-grams say together must exceed `margin`, else it
+    its share exceeds one that is `weak` of the way from even to all; what a sentence's n-grams say together must exceed `margin`, else it
     speaks of none.
     """
     k, docs = given.shape[1], len(given)
     area_of_doc = given / np.maximum(1, given.sum(1, keepdims=True))
+    least = 1 / k + weak * (1 - 1 / k)
     post = np.zeros((len(s.of), k + 1), np.float32)
     post[:, k] = 1
     spread = s.spread()
@@ -144,7 +145,7 @@ def attribute(s: Sentences, given: np.ndarray, rounds: int = 6, smoothing: float
         part = post[:, :k] + post[:, k:] * area_of_doc[s.of]
         n = _by_feature(part, small, spread, len(used)) / np.maximum(1e-9, part.sum(0) / max(1e-9, part.sum(0).mean()))
         share = (n + smoothing / k) / (n.sum(1, keepdims=True) + smoothing)
-        x = np.hstack((_by_sentence(np.maximum(0, np.log(share * k / weak)).astype(np.float32), small, s.start), np.full((len(s.of), 1), margin)))
+        x = np.hstack((_by_sentence(np.maximum(0, np.log(share / least)).astype(np.float32), small, s.start), np.full((len(s.of), 1), margin)))
         x = np.exp(x - x.max(1, keepdims=True))
         post = (x / x.sum(1, keepdims=True)).astype(np.float32)
         found = np.stack([np.bincount(s.of, weights=post[:, c], minlength=docs) for c in range(k)], 1) + 2 * given
@@ -152,6 +153,10 @@ def attribute(s: Sentences, given: np.ndarray, rounds: int = 6, smoothing: float
     return post
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], rounds: int = 30, l2: float = 1e-6) -> Model:
     """A model from documents, some with labels; every fifth is kept back for the thresholds (none if they are few)."""
     s = sentences(texts)
@@ -168,13 +173,13 @@ def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], round
     n = max(1, int((~held).sum()))
     for t in range(1, rounds + 1):
         z = _by_sentence(w, small, s.start) + bias
-        err = (1 / (1 + np.exp(-z)) - target) * (~held)[:, None]
+        err = (_sigmoid(z) - target) * (~held)[:, None]
         grad = (_by_feature(err, small, spread, len(used)) / n + l2 * w).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         bias -= np.float32(0.5) * err.sum(0) / n
     weight[used] = w
-    p = 1 / (1 + np.exp(-(_by_sentence(w, small, s.start) + bias)))
+    p = _sigmoid(_by_sentence(w, small, s.start) + bias)
     check = held if held.any() else ~held
     grid = np.linspace(0.2, 0.8, 25)
     threshold = np.empty(k)
