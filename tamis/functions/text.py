@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -55,6 +56,35 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(both, lambda t: ~t.isin(*stop)) if stop else both
 
 
+class Tokenizer:
+    """tokens() of single texts in Python, for operators that count them where they are; runs are kept up to a bound."""
+
+    KEPT = 300_000
+
+    def __init__(self, stop: tuple[str, ...] = STOP_WORDS):
+        self.stop, self.run = frozenset(stop), re.compile(TOKEN)
+        self.table = str.maketrans(FOLD_FROM, FOLD_TO, FOLD_DROP)
+        self.seen: dict[str, tuple[str, ...]] = {}
+
+    def of_run(self, run: str) -> tuple[str, ...]:
+        out = self.seen.get(run)
+        if out is None:
+            pieces = [p for p in run.split("-") if len(p) >= 2 or p.isdigit()]
+            out = tuple(t for t in ([run, *pieces] if "-" in run else pieces) if t not in self.stop)
+            if len(self.seen) >= self.KEPT:
+                self.seen.clear()
+            self.seen[run] = out
+        return out
+
+    def __call__(self, text: str) -> list[str]:
+        t = text.lower()
+        if not t.isascii():
+            for a, b in FOLD_LIGATURES.items():
+                t = t.replace(a, b)
+            t = t.translate(self.table)
+        return [x for r in self.run.findall(t) for x in self.of_run(r)]
+
+
 def stop_list_collisions(stop: tuple[str, ...] = STOP_WORDS, terms: tuple[str, ...] = DOMAIN_TERMS) -> list[str]:
     """Domain terms that the stop list would drop; must be empty."""
     return sorted({fold_word(t) for t in terms} & set(stop))

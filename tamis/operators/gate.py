@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.rulepack import STOP_WORDS
-from tamis.operators.lexical import corpus_stats, idf, idf_ceiling, lengths, postings, query_terms
+from tamis.operators.lexical import corpus_stats, counted_for, idf, idf_ceiling, query_terms
 from tamis.session import cut, small
 
 
@@ -36,9 +36,9 @@ def coverage(queries: DataFrame, chunks: DataFrame, kept: DataFrame, query: str,
     A token that the corpus lacks weighs as much as the rarest possible. Queries without tokens have 0 everywhere.
     """
     terms = cut(query_terms(queries, query, query_text, stop))
-    only = small(cut(terms.select("terme").distinct()))
-    rows = cut(postings(chunks, key, text, stop, only).select(key, "terme"))
-    n = corpus_stats(lengths(chunks, key, text, stop)).first().n
+    both = cut(counted_for(chunks, key, text, terms, stop).select(key, "terme", "dl"))
+    n = corpus_stats(both.where("terme is null")).first().n
+    rows = both.where("terme is not null")
     df = small(cut(rows.groupBy("terme").agg(F.count(F.lit(1)).alias("df"))))
     w = terms.join(df, "terme", "left").withColumn("idf", idf(F.col("df"), n)).withColumn("poids", F.coalesce("idf", idf_ceiling(F.lit(n))))
     whole = w.groupBy(query).agg(F.count(F.lit(1)).alias("n_jetons"), F.count("idf").alias("n_presents"), F.sum("idf").alias("si"), F.sum("poids").alias("sp"), F.max("idf").alias("mi"))

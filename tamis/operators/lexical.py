@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.rulepack import STOP_WORDS
-from tamis.functions.text import tokens
-from tamis.session import cut, small
+from tamis.functions.text import Tokenizer, tokens
+from tamis.session import BROADCAST_ROWS, cut, ship, small
 
 K1, B = 1.2, 0.75
 
 
+def counted(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, only: tuple[str, ...] | None = None) -> DataFrame:
+    """`key`, `terme`, `tf`, `dl`: the terms of each document, and for each document, also one without tokens, a row with null
+    `terme`. With `only`, other terms are left out where they are counted. A document's tokens are counted where it is: no
+    shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, wanted = Tokenizer(stop), None if only is None else frozenset(only)
+        for batch in batches:
+            row, term, tf, dl = [], [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                found = of(t) if t else []
+                n = Counter(found if wanted is None else filter(wanted.__contains__, found))
+                row += [r] * (len(n) + 1)
+                term += [None, *n]
+                tf += [0, *n.values()]
+                dl += [len(found)] * (len(n) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], [key, "terme", "tf", "dl"])
+
+    ship(docs.sparkSession)
+    rows = docs.select(key, text)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, terme string, tf int, dl int")
+
+
 def lengths(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """`key`, `dl`: index tokens of each document; 0 for a null or empty text. No shuffle."""
-    return docs.select(key, F.coalesce(F.size(tokens(F.col(text), stop)), F.lit(0)).alias("dl"))
+    """`key`, `dl`: index tokens of each document; 0 for a null or empty text."""
+    return counted(docs, key, text, stop, ()).select(key, "dl")
+
+
+def postings(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """`key`, `terme`, `tf`, `dl`."""
+    return counted(docs, key, text, stop).where("terme is not null")
 
 
-def postings(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
-    """`key`, `terme`, `tf`, `dl`. With `only` (a column `terme`, few rows) other terms are dropped before anything is shuffled."""
-    t = docs.select(key, tokens(F.col(text), stop).alias("__t")).where("size(__t) > 0")
-    rows = t.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("terme"))
-    if only is not None:
-        rows = rows.join(only.select("terme").distinct(), "terme", "left_semi")
-    return rows.groupBy(key, "terme", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+def counted_for(docs: DataFrame, key: str, text: str, terms: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """counted() of the terms in `terms` (cut), whose list goes to the tasks if it is short, and is joined otherwise."""
+    wanted = terms.select("terme").distinct()
+    some = [r.terme for r in wanted.limit(BROADCAST_ROWS + 1).collect()]
+    if len(some) <= BROADCAST_ROWS:
+        return counted(docs, key, text, stop, tuple(some))
+    rows = counted(docs, key, text, stop)
+    return rows.where("terme is null").unionByName(rows.join(wanted, "terme", "left_semi").select(*rows.columns))
 
 
 def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
@@ -59,13 +92,14 @@ def top(scored: DataFrame, query: str, key: str, score: str, k: int, rank: str =
 def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, k: int = 60, k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """`query`, `key`, `score`, `rang`: Okapi BM25 of each query against all `docs`, its `k` best.
 
-    A query counts each of its terms once; documents that share none don't come out. Of the documents only occurrences of
-    the queries' terms are shuffled. An empty collection, or no queries, give no rows.
+    A query counts each of its terms once; documents that share none don't come out. Of the documents only counts of
+    the queries' terms are kept. An empty collection, or no queries, give no rows.
     """
     terms = small(cut(query_terms(queries, query, query_text, stop)))
-    rows = cut(postings(docs, key, text, stop, small(cut(terms.select("terme").distinct()))))
-    stats = corpus_stats(lengths(docs, key, text, stop)).first()
+    both = cut(counted_for(docs, key, text, terms, stop))
+    stats = corpus_stats(both.where("terme is null")).first()
     n, avgdl = stats.n, stats.avgdl or 1.0
+    rows = both.where("terme is not null")
     df = small(cut(rows.groupBy("terme").agg(F.count(F.lit(1)).alias("df"))))
     weight = idf(F.col("df"), n) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = rows.join(df, "terme").join(terms, "terme").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))

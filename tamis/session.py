@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def local_session(cpus: int | str = 8, memory: str = "20g", partitions: int = 8)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tamis_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        at = os.path.join(tempfile.mkdtemp(prefix="tamis-package-"), "tamis.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
+        sc.addPyFile(at)
+        sc._tamis_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's `spark.checkpoint.dir`, or one of our own where it is unset."""
     sc = spark.sparkContext
@@ -52,5 +68,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Tables with long texts, whose rows cost far more to work on than to move.
+TEXTS = ("chunks", "documents")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if its files give fewer partitions than there are (a file of one row group is one task however
+    large); unchanged otherwise, as with any input worth a cluster."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    ship(spark)
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXTS else df
