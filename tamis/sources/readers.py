@@ -46,7 +46,7 @@ def registry(spark: SparkSession, path: str, key: str = "sources") -> DataFrame:
 def provenance_texts(spark: SparkSession, path: str) -> DataFrame:
     """`fichier`, `text`: each file whole, line ends as they are, so that offsets are exact."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("fichier"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("fichier"), F.decode("content", "UTF-8").alias("text"))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
