@@ -40,13 +40,21 @@ def provenance_mismatches(chunks: DataFrame, sources: DataFrame, fields: tuple[s
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("champ", "differences"))
 
 
-def interval_coverage(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
+def _union(rows: DataFrame, by: list[str]) -> DataFrame:
+    """`by`..., `a`, `b`: the union of each group's intervals, touching ones joined."""
+    w = Window.partitionBy(*by).orderBy("a", "b")
+    marked = rows.withColumn("haut", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("neuf", (F.col("haut").isNull() | (F.col("a") > F.col("haut"))).cast("int"))
+    return marked.withColumn("ile", F.sum("neuf").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "ile").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("ile")
+
+
+def interval_coverage(rows: DataFrame, group: str, a: str, b: str, stretch: int = 100_000) -> DataFrame:
     """Per group: the length covered by the union of [a, b), touching intervals joined, the islands, the whole span and the
-    share of it covered. Null or empty intervals are left out."""
-    w = Window.partitionBy(group).orderBy("a", "b")
-    spans = rows.select(group, F.col(a).alias("a"), F.col(b).alias("b")).where("a < b")
-    marked = spans.withColumn("haut", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("neuf", (F.col("haut").isNull() | (F.col("a") > F.col("haut"))).cast("int"))
-    islands = marked.withColumn("ile", F.sum("neuf").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(group, "ile").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    share of it covered. Null or empty intervals are left out.
+
+    Intervals are united per stretch of positions first, whatever the group's size, and then the stretches' islands.
+    """
+    spans = rows.select(group, F.col(a).alias("a"), F.col(b).alias("b")).where("a < b").withColumn("t", F.floor(F.col("a") / stretch))
+    islands = _union(_union(spans, [group, "t"]).drop("t"), [group])
     out = islands.groupBy(group).agg(F.sum(F.col("b") - F.col("a")).alias("couvert"), F.count(F.lit(1)).alias("iles"), (F.max("b") - F.min("a")).alias("etendue"))
     return out.withColumn("part", F.round(F.col("couvert") / F.col("etendue"), 6))
 
@@ -61,14 +69,14 @@ def offset_check(chunks: DataFrame) -> DataFrame:
 
 def shared_edges(chunks: DataFrame, chars: int = 60) -> DataFrame:
     """One row: passages whose last `chars` characters a neighbour on the page repeats (`queue`), whose first a neighbour
-    has (`tete`), and either (`union`)."""
-    w = Window.partitionBy("doc", "page").orderBy("i")
+    has (`tete`), and either (`union`). Neighbours are met by number, so a large document or page is no hot key."""
     rows = chunks.where("doc is not null and page is not null and texte is not null").select("i", "doc", "page", norm(F.col("texte")).alias("t"))
-    near = rows.withColumns({"pi": F.lag("i").over(w), "p": F.lag("t").over(w), "ni": F.lead("i").over(w), "n": F.lead("t").over(w)})
-    of = lambda c, d: F.when(F.col(c[0] + "i") == F.col("i") + d, F.col(c))
-    any_has = lambda part: F.coalesce(F.contains(of("p", -1), part), F.lit(False)) | F.coalesce(F.contains(of("n", 1), part), F.lit(False))
-    tail, head = any_has(F.right("t", F.lit(chars))), any_has(F.left("t", F.lit(chars)))
-    return near.where("t != ''").agg(F.count(F.lit(1)).alias("n"), F.count_if(tail).alias("queue"), F.count_if(head).alias("tete"), F.count_if(tail | head).alias("union"))
+    edges = rows.where("t != ''").select("i", "doc", "page", F.right("t", F.lit(chars)).alias("q"), F.left("t", F.lit(chars)).alias("h"))
+    near = edges.select("*", F.explode(F.array(F.col("i") - 1, F.col("i") + 1)).alias("j"))
+    met = near.join(rows.select(F.col("i").alias("j"), "doc", "page", "t"), ["j", "doc", "page"], "left")
+    has = lambda c: F.max(F.coalesce(F.contains("t", c), F.lit(False)))
+    each = met.groupBy("i").agg(has(F.col("q")).alias("q"), has(F.col("h")).alias("h"))
+    return each.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queue"), F.count_if("h").alias("tete"), F.count_if(F.col("q") | F.col("h")).alias("union"))
 
 
 def norm_deviation(rows: DataFrame, vector: str, tolerance: float = 1e-3) -> DataFrame:

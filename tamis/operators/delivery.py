@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.session import cut, small
@@ -12,7 +12,7 @@ def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame |
     """One row of each `key`: that with the smallest `by` (nulls last; further ties by the whole row's hash).
 
     Only the keys are shuffled to find those delivered more than once; the wide rows of all other keys stay where they
-    are. Rows whose key has a null are kept as they are, for nothing says that they are the same. Empty input gives
+    are, and of those the first is found by an aggregation that combines before the shuffle. Rows whose key has a null are kept as they are, for nothing says that they are the same. Empty input gives
     empty output; columns are kept, whatever their names.
     """
     null = F.lit(False)
@@ -21,9 +21,7 @@ def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame |
     again = (key_rows if key_rows is not None else df).select(*key).where(~null).groupBy(*key).count().where("count > 1").select(*key)
     again = small(cut(again))
     many = df.join(again, key, "left_semi")
-    w = Window.partitionBy(*key).orderBy(F.col(by).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in key]))
-    n = "__delivery"
-    while n in df.columns:
-        n += "_"
-    once = many.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n).select(*df.columns)
+    order = F.struct(F.col(by).isNull().alias("a"), F.col(by).alias("b"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in key]).alias("c"))
+    once = many.groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)]), order).alias("r"))
+    once = once.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(df.columns)])
     return df.join(again, key, "left_anti").select(*df.columns).unionByName(once)

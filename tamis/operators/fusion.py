@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tags of structural noise, demoted in the fusion.
@@ -78,10 +78,12 @@ def kept_rows(selection: DataFrame, query: str) -> DataFrame:
 
 
 def same_page_neighbours(chunks: DataFrame) -> DataFrame:
-    """`i`, `avant`, `apres`: the passages i-1 and i+1 where they are of the same document and page, else null."""
-    w = Window.partitionBy("doc", "page").orderBy("i")
-    near = lambda c, d: F.when((F.col(c) == F.col("i") + d) & F.col("doc").isNotNull() & F.col("page").isNotNull(), F.col(c))
-    return chunks.select("i", "doc", "page").withColumns({"p": F.lag("i").over(w), "n": F.lead("i").over(w)}).select("i", near("p", -1).alias("avant"), near("n", 1).alias("apres"))
+    """`i`, `avant`, `apres`: the passages i-1 and i+1 where they are of the same document and page, else null. They are
+    met by number, so a document or page of any size is no hot key."""
+    place = chunks.select("i", "doc", "page")
+    here = place.where("i is not null and doc is not null and page is not null")
+    at = lambda d, n: here.select((F.col("i") + d).alias("i"), "doc", "page", F.col("i").alias(n)).dropDuplicates(["i"])
+    return place.join(at(1, "avant"), ["i", "doc", "page"], "left").join(at(-1, "apres"), ["i", "doc", "page"], "left").select("i", "avant", "apres")
 
 
 def overlapping(a: Column, b: Column) -> Column:

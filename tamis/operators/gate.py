@@ -60,7 +60,7 @@ def coverage(queries: DataFrame, chunks: DataFrame, kept: DataFrame, query: str,
     )
 
 
-def gate_value(stats: dict[str, Column] | None, statistic: Column, fallback: Column, names: tuple[str, ...]) -> Column:
+def gate_value(statistic: Column, fallback: Column, names: tuple[str, ...]) -> Column:
     """The value of the statistic named by a column, or of the fallback where that is null."""
     pick = lambda name: F.coalesce(*[F.when(name == n, F.col(n)) for n in names])
     return F.coalesce(pick(statistic), pick(fallback))

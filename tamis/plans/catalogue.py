@@ -26,7 +26,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidates with document, offsets and cap, selection) of every question."""
     cands = _once(spark, sf_dir, "candidats")
     docs = _once(spark, sf_dir, "chunks", "doc", "off").select("i", fusion.doc_key(F.col("doc")).alias("doc"), "off")
-    caps = read_table(spark, sf_dir, "seuils").select("calib", F.col("parametres_retrieve_au_moment_.max_par_doc").alias("plafond"))
+    caps = read_table(spark, sf_dir, "seuils").select("calib", F.col("parametres_retrieve_au_moment_.max_par_doc").alias("plafond")).dropDuplicates(["calib"])
     rows = cut(cands.drop("calcule_le").join(docs, "i", "left").join(caps, "calib", "left"))
     return rows, fusion.select(rows, "ligne", cap="plafond")
 
@@ -88,7 +88,7 @@ def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = gate.score_statistics(rows, selection, "ligne").join(rows.select("ligne", "calib").distinct(), "ligne")
     names = ("cos_top1_dense", "cos_du_retenu_1", "cos_max_retenus")
     s = s.join(read_table(spark, sf_dir, "seuils").select("calib", "porte_niveau_2_contre_3.*"), "calib", "left")
-    value = gate.gate_value(None, F.col("statistique"), F.col("repli_si_absente"), names)
+    value = gate.gate_value(F.col("statistique"), F.col("repli_si_absente"), names)
     return s.select("ligne", value.alias("valeur"), "seuil", gate.refused(value, F.col("seuil")).alias("refus"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.text import structure
 from tamis.operators import audit, lexical, segment
+from tamis.operators.prefix import global_index
 from tamis.session import cut
 
 
@@ -23,17 +24,14 @@ class Index:
 def build(registry: DataFrame, texts: DataFrame, target: int = 700, most: int = 955, least: int = 220, overlap: int = 1) -> Index:
     """The index of the registry's indexed sources. `texts`: `fichier` (the source's id with .txt) and `text`.
 
-    Passages are numbered in order of (source, page, offset): a row number per document plus the sizes of the documents
-    before it, so that no window holds the whole collection.
+    Passages are numbered in order of (source, page, offset), by range partitions and their sizes.
     """
     keep = audit.perimeter(registry).where("etat = 'indexe'").select("id")
     reg = registry.join(keep, "id", "left_semi").dropDuplicates(["id"])
     docs = cut(texts.withColumn("id", F.regexp_replace("fichier", r"\.txt$", "")).join(keep, "id", "left_semi"))
     packed = cut(segment.pack(segment.page_segments(docs, "id", "text"), ["id", "page"], "texte", "a", target, most, least, overlap))
     sizes = packed.groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    before = sizes.withColumn("avant", F.coalesce(F.sum("n_chunks").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("id").orderBy("page", "a")) - 1
-    rows = packed.withColumn("k", own).join(before.select("id", "avant"), "id").withColumn("i", F.col("avant") + F.col("k"))
+    rows = global_index(packed, ["id", "page", "a"], "i")
     heads = segment.headers(docs, "id", "text")
     meta = reg.join(heads.select("id", "entete"), "id", "left")
     given = lambda c: F.coalesce(F.col(c), F.col("entete")[c], F.lit(""))

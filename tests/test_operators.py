@@ -159,3 +159,14 @@ def test_packing(spark):
     df = spark.createDataFrame([(1, 1, t, 100), (1, 2, None, 0), (1, 3, "", 0)], "doc bigint, page int, texte string, a bigint")
     out = segment.pack(df, ["doc", "page"], "texte", "a").orderBy("rang").collect()
     assert [(r.a - 100, r.b - 100) for r in out] == ps and all(r.texte == t[r.a - 100 : r.b - 100] for r in out)
+
+
+def test_global_index(spark):
+    from tamis.operators.prefix import global_index
+
+    random.seed(3)
+    rows = [(random.choice("aab"), random.randrange(50), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, __m int").repartition(5)
+    got = {r["__m"]: r.n for r in global_index(df, ["g", "x", "__m"], "n").collect()}
+    assert got == {r[2]: k for k, r in enumerate(sorted(rows))}
+    assert global_index(df.where("false"), ["g"], "n").count() == 0
