@@ -114,7 +114,7 @@ def units(text: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\n"), strip), lambda x: x != "")
 
 
-#: Forms of structural noise.
+# Forms of structural noise.
 DOT_LEADERS = r"\.{4,}"
 REFERENCE_LINE = r"^\s*(?:\[?\d{1,3}[\].)]\s*)?[A-Z][A-Za-zÀ-ſ'-]+,?\s+(?:[A-Z]\.?\s?){1,4}[,;(]"
 REFERENCE_SIGN = r"(?i)doi|https?://"

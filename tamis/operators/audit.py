@@ -23,6 +23,43 @@ def perimeter_counts(sources: DataFrame) -> DataFrame:
     return perimeter(sources).groupBy("etat").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
 
 
+def lock(sources: DataFrame, expected: dict[str, int]) -> None:
+    """Raises if the perimeter's counts (`etat` -> n) aren't the expected ones."""
+    found = {r.etat: r.n for r in perimeter(sources).groupBy("etat").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if found != expected:
+        raise ValueError(f"perimeter {found}, expected {expected}")
+
+
+def scope_check(sources: DataFrame, allowed: tuple[str, ...] = ("directe", "indirecte")) -> DataFrame:
+    """`id`, `utilite_conseil` of indexed sources whose use isn't one of `allowed`."""
+    return sources.join(perimeter(sources).where("etat = 'indexe'"), "id", "left_semi").where(~F.coalesce(F.col("utilite_conseil").isin(*allowed), F.lit(False))).select("id", "utilite_conseil").distinct()
+
+
+def id_check(chunks: DataFrame, key: str = "i") -> DataFrame:
+    """One row: rows, distinct keys, the smallest and largest key, and whether the keys are 0..n-1 without a gap."""
+    a = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("cles"), F.min(key).alias("mini"), F.max(key).alias("maxi"))
+    return a.withColumn("dense", F.coalesce((F.col("mini") == 0) & (F.col("maxi") == F.col("cles") - 1), F.lit(True)))
+
+
+def page_containment(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """`i` of passages that don't lie within their page. `chunks`: i, doc, page, off; `pages`: doc, page, a, b."""
+    p = pages.select("doc", "page", "a", "b")
+    inside = (F.col("a") <= F.col("off.a")) & (F.col("off.b") <= F.col("b"))
+    return chunks.join(p, ["doc", "page"], "left").groupBy("i").agg(F.max(F.coalesce(inside, F.lit(False))).alias("ok")).where("not ok").select("i")
+
+
+def lines_with(docs: DataFrame, key: str, text: str, needles: list[str], begin: str | None = None, end: str | None = None) -> DataFrame:
+    """`key`, `ligne` from 1, `mot`: lines that have a needle, case aside, those from a line with `begin` to one with `end` left out."""
+    rows = docs.select(key, F.split(text, "\n").alias("ls"))
+    if begin is not None and end is not None:
+        inside = F.aggregate("ls", F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("f")), lambda s, x: F.struct(((s.on | F.contains(x, F.lit(begin))) & ~F.contains(x, F.lit(end))).alias("on"), F.array_append(s.f, s.on | F.contains(x, F.lit(begin))).alias("f")), lambda s: s.f)
+    else:
+        inside = F.transform("ls", lambda x: F.lit(False))
+    lines = rows.select(key, F.posexplode(F.arrays_zip("ls", inside.alias("dedans"))).alias("k", "l"))
+    low = F.lower("l.ls")
+    return lines.where(~F.col("l.dedans")).select(key, (F.col("k") + 1).alias("ligne"), F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in needles]))).alias("mot"))
+
+
 def chunk_sizes(chunks: DataFrame, by: str, least: int = 220) -> DataFrame:
     """Sizes of the passages per `by`: n, sum, min, median (whole), mean (one decimal), max, and how many are below `least`."""
     n = F.length("texte")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.functions.text import norm
+
 
 def recall_at_k(ranked: DataFrame, truth: DataFrame, query: str, key: str, ranks: dict[str, str], k: int = 8) -> DataFrame:
     """`liste`, `questions` (with truth), `trouvees` (with one of it among the first `k`), `rappel`. `ranks`: list name -> column."""
@@ -54,3 +56,21 @@ def label_replay(found: DataFrame, labels: DataFrame, query: str) -> DataFrame:
     """One row: labelled questions, and those whose set of levels is the expected one. Both sides: `query`, `niveaux` (array)."""
     both = labels.select(query, F.array_sort(F.array_distinct("niveaux")).alias("a")).join(found.select(query, F.array_sort(F.array_distinct("niveaux")).alias("b")), query, "left")
     return both.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("justes"))
+
+
+def match_prompts(prompts: DataFrame, labels: DataFrame) -> DataFrame:
+    """`prompt_id`, `id`: the label of each prompt by its text, blanks around aside; null without one. A prompt with two
+    different labels is an error."""
+    t = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    both = prompts.select("prompt_id", t(F.col("prompt")).alias("t")).join(labels.select("id", t(F.col("requete")).alias("t")).distinct(), "t", "left")
+    one = both.groupBy("prompt_id").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    return one.select("prompt_id", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several labels for prompt "), "prompt_id")).cast("string")).otherwise(F.col("id")).alias("id"))
+
+
+def citation_difference(a: DataFrame, b: DataFrame, query: str) -> DataFrame:
+    """Per query of either side: citations (`chunk`, `citation`, white space aside) only in `a`, only in `b`, in both, and
+    whether a's are a strict subset of b's."""
+    c = lambda d, side: d.select(query, "chunk", norm(F.col("citation")).alias("citation")).distinct().withColumn(side, F.lit(1))
+    both = c(a, "x").join(c(b, "y"), [query, "chunk", "citation"], "full_outer")
+    g = both.groupBy(query).agg(F.count_if(F.col("y").isNull()).alias("seul_a"), F.count_if(F.col("x").isNull()).alias("seul_b"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("communes"))
+    return g.withColumn("sous_ensemble_strict", (F.col("seul_a") == 0) & (F.col("seul_b") > 0))

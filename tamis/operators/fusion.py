@@ -77,6 +77,11 @@ def kept_rows(selection: DataFrame, query: str) -> DataFrame:
     return selection.select(query, F.posexplode("retenus").alias("p", "r")).select(query, F.col("r.i").alias("i"), (F.col("p") + 1).alias("rang"), F.col("r.doc").alias("doc"), F.col("r.rrf").alias("rrf"), F.col("r.cos").alias("cos"))
 
 
+def restrict(kept: DataFrame, chunks: DataFrame, regime: str = "committed") -> DataFrame:
+    """The kept rows whose passage is of a regime, their ranks as they were."""
+    return kept.join(chunks.where(F.col("regime") == regime).select("i").distinct(), "i", "left_semi").select(*kept.columns)
+
+
 def same_page_neighbours(chunks: DataFrame) -> DataFrame:
     """`i`, `avant`, `apres`: the passages i-1 and i+1 where they are of the same document and page, else null. They are
     met by number, so a document or page of any size is no hot key."""

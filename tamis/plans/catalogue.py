@@ -79,6 +79,19 @@ def hybrid_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir)[1].select("ligne", F.explode("ecartes").alias("e")).select("ligne", "e.i", "e.motif")
 
 
+def hybrid_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = fusion.kept_rows(_stats(spark, sf_dir)[1], "ligne").select("ligne", "i", F.col("rang").cast("bigint").alias("rang"))
+    return fusion.restrict(kept, _once(spark, sf_dir, "chunks", "regime"))
+
+
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.id_check(read_table(spark, sf_dir, "chunks"))
+
+
+def scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.scope_check(read_table(spark, sf_dir, "sources"))
+
+
 def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.score_statistics(*_stats(spark, sf_dir), "ligne")
 
@@ -231,7 +244,7 @@ def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pack(segment.page_segments(read_table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id", "page"], "texte", "a")
 
 
-_ALL = (perimeter_counts, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, dense_topk, dense_margins, hybrid_rrf, hybrid_selected, hybrid_rejected, gate_stats, gate_decisions, idf_coverage, structure_tags, structure_histogram, citation_units, citations_truncated, same_page_neighbours, interval_coverage, chunk_sizes, provenance_mismatches, offset_check, shared_edges, sources_without_chunks, value_pattern_hits, demand_routing, entities_in_questions, answer_reports, answer_citations, recall_at_8, gate_auc, threshold_sweep, expected_levels, int8_error, norm_check, cache_misses, run_dispersion, page_segments, document_headers, packed_chunks)
+_ALL = (perimeter_counts, scope_check, chunk_ids, hybrid_committed, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, dense_topk, dense_margins, hybrid_rrf, hybrid_selected, hybrid_rejected, gate_stats, gate_decisions, idf_coverage, structure_tags, structure_histogram, citation_units, citations_truncated, same_page_neighbours, interval_coverage, chunk_sizes, provenance_mismatches, offset_check, shared_edges, sources_without_chunks, value_pattern_hits, demand_routing, entities_in_questions, answer_reports, answer_citations, recall_at_8, gate_auc, threshold_sweep, expected_levels, int8_error, norm_check, cache_misses, run_dispersion, page_segments, document_headers, packed_chunks)
 
 
 QUERIES = {f.__name__: f for f in _ALL}

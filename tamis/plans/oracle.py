@@ -108,6 +108,9 @@ ORACLE: dict[str, str] = {
       SELECT round(max(cos) FILTER (r) - max(cos) FILTER (NOT r), 6) AS marge, round(median(cos) FILTER (r) - median(cos) FILTER (NOT r), 6) AS marge_medianes, count(*) FILTER (cos > (SELECT max(cos) FROM c WHERE r)) + 1 AS rang_premier FROM c""",
     "hybrid_rrf": f"WITH {CAND} SELECT ligne, i, CASE WHEN rang_bm25 IS NOT NULL OR rang_dense IS NOT NULL THEN round(coalesce(1.0 / (60 + rang_bm25 + coalesce(penalite, 0)), 0) + coalesce(1.0 / (60 + rang_dense + coalesce(penalite, 0)), 0), 6) END AS rrf_recalcule FROM cand_1",
     "hybrid_selected": f"WITH RECURSIVE {POOL} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].rrf AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
+    "hybrid_committed": f"WITH RECURSIVE {POOL}, k AS (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS rang FROM fin) SELECT ligne, kept[rang].i AS i, rang FROM k WHERE kept[rang].i IN (SELECT i FROM chunks_1 WHERE regime = 'committed')",
+    "chunk_ids": "SELECT count(*) AS n, count(DISTINCT i) AS cles, min(i) AS mini, max(i) AS maxi, coalesce(min(i) = 0 AND max(i) = count(DISTINCT i) - 1, true) AS dense FROM chunks",
+    "scope_check": f"SELECT DISTINCT id, utilite_conseil FROM sources WHERE id IN (SELECT id FROM sources WHERE {PERIMETER} = 'indexe') AND NOT coalesce(utilite_conseil IN ('directe', 'indirecte'), false)",
     "hybrid_rejected": f"WITH RECURSIVE {POOL} SELECT ligne, ei AS i, motif FROM st WHERE ei IS NOT NULL",
     "gate_stats": GATE + " SELECT * EXCLUDE (porte) FROM g",
     "gate_decisions": GATE + """, v AS (SELECT ligne, porte.seuil AS seuil, coalesce(CASE porte.statistique WHEN 'cos_top1_dense' THEN cos_top1_dense WHEN 'cos_du_retenu_1' THEN cos_du_retenu_1 WHEN 'cos_max_retenus' THEN cos_max_retenus END, CASE porte.repli_si_absente WHEN 'cos_top1_dense' THEN cos_top1_dense WHEN 'cos_du_retenu_1' THEN cos_du_retenu_1 WHEN 'cos_max_retenus' THEN cos_max_retenus END) AS valeur FROM g)

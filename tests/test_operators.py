@@ -170,3 +170,32 @@ def test_global_index(spark):
     got = {r["__m"]: r.n for r in global_index(df, ["g", "x", "__m"], "n").collect()}
     assert got == {r[2]: k for k, r in enumerate(sorted(rows))}
     assert global_index(df.where("false"), ["g"], "n").count() == 0
+
+
+def test_more_audits(spark):
+    s = spark.createDataFrame([("a", "directe", None), ("b", "autre", None), ("c", None, "oui")], "id string, utilite_conseil string, exclusion string")
+    audit.lock(s, {"indexe": 2, "exclu": 1})
+    with pytest.raises(ValueError):
+        audit.lock(s, {"indexe": 3})
+    assert [r.id for r in audit.scope_check(s).collect()] == ["b"]
+    ids = lambda *x: audit.id_check(spark.createDataFrame([(k,) for k in x], "i bigint")).first().dense
+    assert ids(0, 1, 2, 2) and not ids(0, 2) and not ids(1, 2) and ids()
+    c = spark.createDataFrame([(1, "d", 1, (0, 5)), (2, "d", 1, (3, 12)), (3, "x", 1, (0, 1))], "i bigint, doc string, page int, off struct<a: bigint, b: bigint>")
+    assert sorted(r.i for r in audit.page_containment(c, spark.createDataFrame([("d", 1, 0, 10)], "doc string, page int, a int, b int")).collect()) == [2, 3]
+    t = spark.createDataFrame([(1, "un Mil\n<<\nmil\n>>\nsorgho mil"), (2, None)], "i int, t string")
+    assert [(r.i, r.ligne, r.mot) for r in audit.lines_with(t, "i", "t", ["mil", "sorgho"], "<<", ">>").orderBy("ligne", "mot").collect()] == [(1, 1, "mil"), (1, 5, "mil"), (1, 5, "sorgho")]
+    assert audit.lines_with(t, "i", "t", ["mil"]).count() == 3
+    k = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "q int, i bigint, rang int")
+    assert fusion.restrict(k, spark.createDataFrame([(2, "committed"), (1, "fetched")], "i bigint, regime string")).collect() == [(1, 2, 2)]
+
+
+def test_prompts_and_citations(spark):
+    p = spark.createDataFrame([("1", " q "), ("2", "r")], "prompt_id string, prompt string")
+    lab = spark.createDataFrame([("x", "q"), ("x", "q"), ("y", "s")], "id string, requete string")
+    assert {r.prompt_id: r.id for r in evaluate.match_prompts(p, lab).collect()} == {"1": "x", "2": None}
+    with pytest.raises(Exception, match="several labels"):
+        evaluate.match_prompts(p, lab.union(spark.createDataFrame([("z", "q")], "id string, requete string"))).collect()
+    a = spark.createDataFrame([(1, 5, "a  b")], "q int, chunk bigint, citation string")
+    b = spark.createDataFrame([(1, 5, "a b"), (1, 6, "c"), (2, 7, "d")], "q int, chunk bigint, citation string")
+    d = {r.q: (r.seul_a, r.seul_b, r.communes, r.sous_ensemble_strict) for r in evaluate.citation_difference(a, b, "q").collect()}
+    assert d == {1: (0, 1, 1, True), 2: (0, 1, 0, True)}
