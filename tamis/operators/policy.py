@@ -147,6 +147,14 @@ def co_mention(pack: RulePack = DEFAULT_PACK):
     return run
 
 
+def evidence(chunks: DataFrame, pack: RulePack = DEFAULT_PACK) -> tuple[DataFrame, DataFrame]:
+    """(units with values and what they name, facts of the passages that have any), both cut: each pattern is tried on each
+    unit once, whatever number of demands is asked."""
+    hits = value_hits(unit_table(chunks.select("i", "texte")), pack)
+    hits = cut(hits.withColumns({"u_nomme": named(F.col("unite"), pack), "u_cibles": targets(F.col("unite"), pack)}))
+    return hits, cut(passage_facts(chunks.join(hits.select("i").distinct(), "i", "left_semi"), pack))
+
+
 def _verified(rows: DataFrame, pack: RulePack, cfg: PolicyConfig) -> DataFrame:
     """Of rows (demand x passage x unit with values) those that may be cited, with `etage`, `co`, and the cut citation `c`."""
     served = ~F.col("type").isin(*pack.conjunctive) | (F.size("cibles_q") == 0) | F.arrays_overlap("cibles_q", "u_cibles") if cfg.target_in_citation else F.lit(True)
@@ -163,17 +171,14 @@ def _citation(source: Column) -> Column:
     )
 
 
-def level_one(wanted: DataFrame, kept: DataFrame, chunks: DataFrame, query: str, pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+def level_one(wanted: DataFrame, kept: DataFrame, chunks: DataFrame, query: str, pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig(), known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """`query`, `ordre`, `citations`: for each demand with a target, the first units of the kept passages, by rank, that carry a
-    value of its type and name its entity; then, if there are any, what a neighbour on the page completes them with."""
+    value of its type and name its entity; then, if there are any, what a neighbour on the page completes them with.
+    `known`: evidence() of `chunks`, if it is there."""
     by = [query, "ordre"]
-    facts = cut(passage_facts(chunks, pack))
+    hits, facts = known or evidence(chunks, pack)
     near = same_page_neighbours(chunks)
     near = near.select("i", F.explode(F.array_compact(F.array("avant", "apres"))).alias("j"))
-    used = kept.select("i").distinct()
-    used = used.unionByName(near.join(used, "i", "left_semi").select(F.col("j").alias("i"))).distinct()
-    hits = value_hits(unit_table(chunks.join(used, "i", "left_semi").select("i", "texte")), pack)
-    hits = cut(hits.withColumns({"u_nomme": named(F.col("unite"), pack), "u_cibles": targets(F.col("unite"), pack)}))
     asked = wanted.where("cible is not null")
     pairs = asked.join(kept.select(query, "i", "rang", "cos"), query).join(hits, ["i", "type"]).join(facts, "i")
     found = _verified(pairs, pack, cfg)
@@ -199,7 +204,7 @@ def level_one(wanted: DataFrame, kept: DataFrame, chunks: DataFrame, query: str,
 SIGNATURE = ("type", "cible", "majuscules", "noms", "lieux_q", "cibles_q")
 
 
-def neighbours(wanted: DataFrame, chunks: DataFrame, pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+def neighbours(wanted: DataFrame, chunks: DataFrame, pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig(), known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per distinct demand (the columns of SIGNATURE) the nearest documented value in the whole collection among units that
     fail its entity, with the named gaps: `voisin`, `ecarts`.
 
@@ -208,9 +213,8 @@ def neighbours(wanted: DataFrame, chunks: DataFrame, pack: RulePack = DEFAULT_PA
     common, then the smaller passage and unit.
     """
     asked = wanted.select(*SIGNATURE).distinct().withColumn("s", F.xxhash64(*SIGNATURE))
-    hits = value_hits(unit_table(chunks.select("i", "texte")), pack)
-    hits = hits.withColumns({"u_nomme": named(F.col("unite"), pack), "u_cibles": targets(F.col("unite"), pack)})
-    rows = hits.join(small(cut(asked)), "type").join(passage_facts(chunks, pack), "i")
+    hits, facts = known or evidence(chunks, pack)
+    rows = hits.join(small(cut(asked)), "type").join(facts, "i")
     rows = rows.withColumn("etage", stage(cfg)).where("cible is null or etage not in ('a1', 'a2', 'dyn')")
     conj = F.col("type").isin(*pack.conjunctive)
     no = lambda c: F.when(c, 0).otherwise(1)
@@ -239,12 +243,13 @@ def analyse(questions: DataFrame, kept: DataFrame, decisions: DataFrame, chunks:
     q = questions.join(decisions, query, "left").withColumn("refus", F.coalesce("refus", F.lit(True)))
     open_q = q.where("not refus")
     wanted = cut(demands(open_q, query, text, pack))
-    cites = level_one(wanted, kept.join(open_q.select(query), query, "left_semi"), chunks, query, pack, cfg)
+    known = evidence(chunks, pack)
+    cites = level_one(wanted, kept.join(open_q.select(query), query, "left_semi"), chunks, query, pack, cfg, known)
     both = cut(wanted.join(cites, [query, "ordre"], "left"))
     practised = F.exists("citations", lambda c: c.citation.rlike(_I + pack.practice))
     both = both.withColumn("niveau", F.when(F.col("citations").isNotNull(), 1).otherwise(2)).withColumn("reserve", F.coalesce(F.col("type").isin(*pack.conjunctive) & ~practised, F.lit(False)))
     need = both.where("niveau = 2 or reserve")
-    near = cut(neighbours(need, chunks, pack, cfg))
+    near = cut(neighbours(need, chunks, pack, cfg, known))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in SIGNATURE]
     full = both.alias("d").join(near.alias("n"), on, "left").select("d.*", F.when((F.col("d.niveau") == 2) | F.col("d.reserve"), F.col("n.voisin")).alias("voisin"), F.when((F.col("d.niveau") == 2) | F.col("d.reserve"), F.col("n.ecarts")).alias("ecarts"))
     none = F.array().cast(both.schema["citations"].dataType)

@@ -97,7 +97,10 @@ def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, selection = _stats(spark, sf_dir)
+    return _decisions(spark, sf_dir, *_stats(spark, sf_dir))
+
+
+def _decisions(spark: SparkSession, sf_dir: str, rows: DataFrame, selection: DataFrame) -> DataFrame:
     s = gate.score_statistics(rows, selection, "ligne").join(rows.select("ligne", "calib").distinct(), "ligne")
     names = ("cos_top1_dense", "cos_du_retenu_1", "cos_max_retenus")
     s = s.join(read_table(spark, sf_dir, "seuils").select("calib", "porte_niveau_2_contre_3.*"), "calib", "left")
@@ -184,8 +187,9 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _once(spark, sf_dir, "chunks", "doc", "page", "titre", "editeur", "annee", "langue", "licence", "regime", "citation_verbatim_autorisee", "texte")
     chunks = cut(chunks.withColumn("doc", fusion.doc_key(F.col("doc"))).drop("charge_le"))
-    decisions = gate_decisions(spark, sf_dir)
-    kept = fusion.kept_rows(_stats(spark, sf_dir)[1], "ligne").select("ligne", "i", "rang", "cos")
+    rows, selection = _stats(spark, sf_dir)
+    decisions = _decisions(spark, sf_dir, rows, selection)
+    kept = fusion.kept_rows(selection, "ligne").select("ligne", "i", "rang", "cos")
     return policy.analyse(_once(spark, sf_dir, "qcm", "requete").select("ligne", "requete"), cut(kept), cut(decisions), chunks)
 
 
