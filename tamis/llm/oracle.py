@@ -43,6 +43,10 @@ ORACLE: dict[str, str] = {
     "p4_found": rf"""WITH {CHUNKS}, f AS (SELECT i, strip_accents(lower({consistent("texte")})) AS t FROM c1 WHERE texte IS NOT NULL), n AS (SELECT count(*) AS n FROM f),
       o AS (SELECT i, unnest(regexp_extract_all(t, '[\p{{L}}\p{{Nd}}]+')) AS terme FROM f), c AS (SELECT terme, count(*) AS n_occ, count(DISTINCT i) AS n_chunks FROM o GROUP BY 1)
       SELECT terme, n_occ, n_chunks, CASE WHEN n_chunks < 3 THEN 'rare' WHEN n_chunks > 0.2 * n THEN 'commun' ELSE 'utile' END AS marque FROM c, n""",
+    "p3_forms": " UNION ALL ".join(f"SELECT '{t}' AS origine, {k} AS cle, {consistent(x)} AS forme FROM {t}" for t, k, x in _TABLES),
+    "p5_lists": f"""WITH {CHUNKS}, l AS (SELECT * FROM candidats QUALIFY row_number() OVER (PARTITION BY ligne, i ORDER BY calcule_le) = 1),
+      s AS (SELECT l.ligne, l.i, l.rrf, {_SOURCE % "c.doc"} AS source, s.parametres_retrieve_au_moment_.max_par_doc AS plafond FROM l LEFT JOIN c1 c ON c.i = l.i LEFT JOIN seuils s ON s.calib = l.calib)
+      SELECT *, source IS NOT NULL AND coalesce(row_number() OVER (PARTITION BY ligne, source ORDER BY rrf DESC NULLS LAST, i) > plafond, false) AS retire FROM s""",
     "p5_found": f"""WITH {CHUNKS}, l AS (SELECT * FROM candidats QUALIFY row_number() OVER (PARTITION BY ligne, i ORDER BY calcule_le) = 1),
       r AS (SELECT l.ligne, l.i, s.parametres_retrieve_au_moment_.max_par_doc AS m, row_number() OVER (PARTITION BY l.ligne, {_SOURCE % "c.doc"} ORDER BY l.rrf DESC NULLS LAST, l.i) AS n
         FROM l JOIN c1 c ON c.i = l.i LEFT JOIN seuils s ON s.calib = l.calib WHERE c.doc IS NOT NULL)
