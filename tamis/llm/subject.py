@@ -103,6 +103,13 @@ def sentences(texts: list[str]) -> Sentences:
     return Sentences(feature, start, np.searchsorted(stop, first[real], side="right"))
 
 
+def many_sentences(texts: list[str], portion: int = 500) -> Sentences:
+    """sentences() of any number of texts, portion by portion for memory."""
+    found = [sentences(texts[k : k + portion]) for k in range(0, len(texts), portion)] or [sentences([])]
+    at = np.cumsum([0, *(len(x.feature) for x in found)])
+    return Sentences(np.concatenate([x.feature for x in found]).astype(np.int32), np.concatenate([x.start + a for x, a in zip(found, at)]), np.concatenate([x.of + k * portion for k, x in enumerate(found)]))
+
+
 _LOWER: list[np.ndarray] = []
 
 
@@ -159,7 +166,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], rounds: int = 30, l2: float = 1e-6) -> Model:
     """A model from documents, some with labels; every fifth is kept back for the thresholds (none if they are few)."""
-    s = sentences(texts)
+    s = many_sentences(texts)
     given = np.array([[a in x for a in areas] for x in labels], np.float64).reshape(len(labels), len(areas))
     k = len(areas)
     weight, bias = np.zeros((1 << BITS, k), np.float32), np.full(k, -3.0, np.float32)
