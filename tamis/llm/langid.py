@@ -129,13 +129,14 @@ def fit(texts: list[str], labels: list[str], smoothing: float = 0.5, bare_weight
     lut, _ = symbols()
     count = np.zeros((ROWS, len(LANGUAGES)))
     for k, lang in enumerate(LANGUAGES):
-        cp = code_points([t + "\n" for t, x in zip(texts, labels) if x == lang and t])
-        sym = lut[np.minimum(cp, 0xFFFF)]
-        sym = sym[telling(sym)]
-        for s, w in ((sym, 1.0), (without_accents()[sym], bare_weight)):
-            if len(s) > 4:
-                for g in grams(s):
-                    count[:, k] += w * np.bincount(g, minlength=ROWS)
+        own = [t + "\n" for t, x in zip(texts, labels) if x == lang and t]
+        for lo in range(0, len(own), 1_000):
+            sym = lut[np.minimum(code_points(own[lo : lo + 1_000]), 0xFFFF)]
+            sym = sym[telling(sym)]
+            for s, w in ((sym, 1.0), (without_accents()[sym], bare_weight)):
+                if len(s) > 4:
+                    for g in grams(s):
+                        count[:, k] += w * np.bincount(g, minlength=ROWS)
     count[0] = 0
     out = np.empty_like(count)
     for lo, hi in ((0, 1 << BITS), (1 << BITS, ROWS)):
