@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cache
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,17 +163,33 @@ def vocabulary(texts: DataFrame, col: str, sample_rows: int = 2_000, size: int =
     return tuple(r.w for r in top.collect())
 
 
+DIGESTS = ("forme_a", "forme_b", "brut_a", "brut_b")
+
+
 def same_look(df: DataFrame, key: str, text: str, group: list[str] | None = None, words: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of `df` with a digest of the raw text and one of its consistent form: `key`, `group`..., `brut`, `forme`.
+    """Rows of `df` with 128 bits, as two numbers, of a digest of the text's consistent form (`forme_a`, `forme_b`) and of the
+    text as stored (`brut_a`, `brut_b`), beside `group`... and `key`.
 
-    Texts equal in form have equal `forme`, texts equal as stored equal `brut`; both are 128 bits, so no text is
-    shuffled after this. Rows with a null text or key are left out.
+    Texts are read, brought to their form and digested in one pass where they are; none is shuffled then or later. Rows
+    with a null text or key are left out.
     """
-    t = F.col(text)
-    f = consistent(t, words)
-    rows = df.where(t.isNotNull() & F.col(key).isNotNull()).select(*(group or []), F.col(key), t.alias("__t"), f.alias("__f"))
-    twice = lambda c: F.struct(F.xxhash64(c).alias("h"), F.xxhash64(F.lit("sel"), F.length(c), c).alias("g"))
-    return rows.select(*(group or []), key, twice("__t").alias("brut"), twice("__f").alias("forme"))
+    keep = [*(group or []), key]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = _canon(words)
+        digest = lambda t: blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
+        for b in batches:
+            both = []
+            for t in b.column(n).to_pylist():
+                raw, f = digest(t), form(t)
+                both.append((raw if f is t else digest(f)) + raw)
+            four = np.frombuffer(b"".join(both), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(four[:, k]) for k in range(4))], [*keep, *DIGESTS])
+
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(*keep, F.col(text).alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
+    return rows.mapInArrow(run, fields + ", ".join(f"{c} bigint" for c in DIGESTS))
 
 
 def look_alike_pairs(digests: DataFrame, key: str, group: list[str] | None = None) -> DataFrame:
@@ -179,10 +198,9 @@ def look_alike_pairs(digests: DataFrame, key: str, group: list[str] | None = Non
     A form with one spelling only, however many rows share it, is dropped by an aggregation that combines before the
     shuffle; only rows of forms with two spellings or more are joined, and equal rows count once.
     """
-    by = [*(group or []), "forme"]
-    varied = digests.groupBy(*by).agg(F.min("brut").alias("__lo"), F.max("brut").alias("__hi")).where("__lo != __hi").select(*by)
-    rows = digests.join(varied, by, "left_semi").select(*by, key, "brut").distinct()
-    a, b = rows.withColumnsRenamed({key: "cle_a", "brut": "__a"}), rows.withColumnsRenamed({key: "cle_b", "brut": "__b"})
-    return a.join(b, by).where("cle_a < cle_b and __a != __b").select(*(group or []), "cle_a", "cle_b").distinct()
-
-
+    by = [*(group or []), "forme_a", "forme_b"]
+    lo_hi = [f(c).alias(f"__{f.__name__}_{c}") for c in ("brut_a", "brut_b") for f in (F.min, F.max)]
+    varied = digests.groupBy(*by).agg(*lo_hi).where("__min_brut_a != __max_brut_a or __min_brut_b != __max_brut_b").select(*by)
+    rows = digests.join(varied, by, "left_semi").select(*by, key, "brut_a", "brut_b").distinct()
+    a, b = (rows.withColumnsRenamed({key: f"cle_{x}", "brut_a": f"__{x}1", "brut_b": f"__{x}2"}) for x in "ab")
+    return a.join(b, by).where("cle_a < cle_b and (__a1 != __b1 or __a2 != __b2)").select(*(group or []), "cle_a", "cle_b").distinct()
