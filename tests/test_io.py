@@ -84,7 +84,7 @@ def test_threshold_guards(tmp_path, change, ok):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "é", [0.5, -2.0])], "i int, b string, embedding array<double>")
     sinks.json_lines(df.drop("embedding"), str(tmp_path / "j"))
-    line = next(open(tmp_path / "j" / f, encoding="utf-8").read() for f in os.listdir(tmp_path / "j") if f.startswith("part"))
+    line = "".join((tmp_path / "j" / f).read_text(encoding="utf-8") for f in os.listdir(tmp_path / "j") if f.startswith("part"))
     assert line == '{"b":"é","i":1}\n'
     sinks.json_document({"b": 1, "a": [2]}, str(tmp_path / "d.json"))
     assert open(tmp_path / "d.json").read().startswith('{\n "a"')
