@@ -132,7 +132,8 @@ def citations_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def same_page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.same_page_neighbours(_once(spark, sf_dir, "chunks", "doc", "page"))
+    c = _once(spark, sf_dir, "chunks", "doc", "page")
+    return fusion.same_page_neighbours(c.withColumn("doc", fusion.doc_key(F.col("doc"))))
 
 
 def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
