@@ -105,15 +105,16 @@ def offset_check(chunks: DataFrame) -> DataFrame:
 
 
 def shared_edges(chunks: DataFrame, chars: int = 60) -> DataFrame:
-    """One row: passages whose last `chars` characters a neighbour on the page repeats (`queue`), whose first a neighbour
-    has (`tete`), and either (`union`). Neighbours are met by number, so a large document or page is no hot key."""
+    """One row: all passages (`n`), those whose last `chars` characters a neighbour on the page repeats (`queue`), whose first
+    a neighbour has (`tete`), and either (`union`). Neighbours are met by number, so a large document or page is no hot key."""
     rows = chunks.where("doc is not null and page is not null and texte is not null").select("i", "doc", "page", norm(F.col("texte")).alias("t"))
     edges = rows.where("t != ''").select("i", "doc", "page", F.right("t", F.lit(chars)).alias("q"), F.left("t", F.lit(chars)).alias("h"))
     near = edges.select("*", F.explode(F.array(F.col("i") - 1, F.col("i") + 1)).alias("j"))
     met = near.join(rows.select(F.col("i").alias("j"), "doc", "page", "t"), ["j", "doc", "page"], "left")
     has = lambda c: F.max(F.coalesce(F.contains("t", c), F.lit(False)))
     each = met.groupBy("i").agg(has(F.col("q")).alias("q"), has(F.col("h")).alias("h"))
-    return each.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queue"), F.count_if("h").alias("tete"), F.count_if(F.col("q") | F.col("h")).alias("union"))
+    found = each.agg(F.count_if("q").alias("queue"), F.count_if("h").alias("tete"), F.count_if(F.col("q") | F.col("h")).alias("union"))
+    return chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(found)
 
 
 def norm_deviation(rows: DataFrame, vector: str, tolerance: float = 1e-3) -> DataFrame:

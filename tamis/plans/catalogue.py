@@ -155,7 +155,8 @@ def offset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.shared_edges(_once(spark, sf_dir, "chunks", "doc", "page", "texte"))
+    c = _once(spark, sf_dir, "chunks", "doc", "page", "texte")
+    return audit.shared_edges(c.withColumn("doc", fusion.doc_key(F.col("doc"))))
 
 
 def sources_without_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

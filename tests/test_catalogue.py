@@ -11,3 +11,11 @@ def test_same_page_neighbours_resolve_the_source(spark, tmp_path):
     spark.createDataFrame([(k, d, 1, "x", 1, AT) for k, d in enumerate(docs)], CHUNKS).write.parquet(str(tmp_path / "chunks.parquet"))
     got = {r.i: (r.avant, r.apres) for r in catalogue.same_page_neighbours(spark, str(tmp_path)).collect()}
     assert got == {0: (None, 1), 1: (0, 2), 2: (1, None), 3: (None, None), 4: (None, None)}
+
+
+def test_shared_edges_resolve_the_source_and_count_all(spark, tmp_path):
+    rows = [("Guide_mil", 1, "a" * 40 + "b" * 80), (" guide-MIL.pdf ", 1, "b" * 80 + "c"), ("guide_mil.txt", 2, "b" * 80), (None, 1, "b" * 80), ("autre", 1, " "), ("autre", 1, None)]
+    spark.createDataFrame([(k, *r, 1, AT) for k, r in enumerate(rows)], CHUNKS).write.parquet(str(tmp_path / "chunks.parquet"))
+    assert catalogue.shared_edges(spark, str(tmp_path)).first().asDict() == {"n": 6, "queue": 1, "tete": 1, "union": 2}
+    spark.createDataFrame([], CHUNKS).write.parquet(str(tmp_path / "none" / "chunks.parquet"))
+    assert catalogue.shared_edges(spark, str(tmp_path / "none")).first().asDict() == {"n": 0, "queue": 0, "tete": 0, "union": 0}
