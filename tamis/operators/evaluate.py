@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.text import norm
+from tamis.operators.prefix import sums_before
+from tamis.session import cut
 
 
 def recall_at_k(ranked: DataFrame, truth: DataFrame, query: str, key: str, ranks: dict[str, str], k: int = 8) -> DataFrame:
@@ -18,24 +20,24 @@ def recall_at_k(ranked: DataFrame, truth: DataFrame, query: str, key: str, ranks
     return rows.select("liste", F.lit(n).cast("bigint").alias("questions"), "trouvees", F.round(F.try_divide("trouvees", F.lit(n)), 6).alias("rappel"))
 
 
-def by_score(rows: DataFrame, score: str, positive: str, decimals: int = 4) -> DataFrame:
-    """`s`, `pos`, `neg`: rows per rounded score. Null scores and labels are left out. Its size is bounded by the rounding."""
-    return rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.round(score, decimals).alias("s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+def by_score(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """`s`, `pos`, `neg`, `avant_pos`, `avant_neg`: rows per distinct score, unrounded, and rows of lower scores. Null scores
+    and labels are left out."""
+    g = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    return sums_before(g, "s", ["pos", "neg"])
 
 
-def auc(rows: DataFrame, score: str, positive: str, decimals: int = 4) -> DataFrame:
-    """One row: `auc` (Mann-Whitney, ties half; null without both classes), `n_pos`, `n_neg`. The window runs over rounded scores, not rows."""
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = by_score(rows, score, positive, decimals).withColumn("sous", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return g.agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("sous") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"))
+def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """One row: `auc` (Mann-Whitney, ties half; null without both classes), `n_pos`, `n_neg`."""
+    g = by_score(rows, score, positive)
+    return g.agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("avant_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"))
 
 
-def threshold_sweep(rows: DataFrame, score: str, positive: str, decimals: int = 2) -> DataFrame:
-    """`seuil`, `faux_refus` (positives below), `fuites` (negatives at or above) for each rounded score."""
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    from_here = Window.orderBy("s").rowsBetween(0, Window.unboundedFollowing)
-    g = by_score(rows, score, positive, decimals)
-    return g.select(F.col("s").alias("seuil"), F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("faux_refus"), F.sum("neg").over(from_here).alias("fuites"))
+def threshold_sweep(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """`seuil`, `faux_refus` (positives below), `fuites` (negatives at or above) for each distinct score."""
+    g = cut(by_score(rows, score, positive))
+    negatives = F.lit(g.agg(F.sum("neg")).first()[0]).cast("bigint")
+    return g.select(F.col("s").alias("seuil"), F.col("avant_pos").alias("faux_refus"), (negatives - F.col("avant_neg")).alias("fuites"))
 
 
 def zero_leak(rows: DataFrame, score: str, positive: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.session import cut
@@ -27,3 +27,19 @@ def global_index(df: DataFrame, order: list[str | Column], name: str) -> DataFra
     offset = F.create_map(*[F.lit(x).cast(t) for p, s in start.items() for x, t in ((p, "int"), (s, "bigint"))])
     local = F.col(n).bitwiseAND(F.lit((1 << 33) - 1))
     return rows.withColumn(name, F.element_at(offset, F.shiftright(n, 33).cast("int")) + local).drop(n)
+
+
+def sums_before(df: DataFrame, order: str, of: list[str]) -> DataFrame:
+    """`df` with `avant_c` for each count `c` in `of`: its sum over the rows before in the order of `order`, whose values are
+    distinct. Each range's rows are summed on their own; only the ranges' totals meet on the driver."""
+    rows = cut(cut(df).repartitionByRange(order).sortWithinPartitions(order)).withColumn("__p", F.spark_partition_id())
+    totals = sorted(rows.groupBy("__p").agg(*[F.sum(c).alias(c) for c in of]).collect())
+    w = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows
+    for c in of:
+        start, at = {}, 0
+        for r in totals:
+            start[r["__p"]], at = at, at + r[c]
+        offset = F.create_map(*[F.lit(x).cast(t) for p, s in start.items() for x, t in ((p, "int"), (s, "bigint"))]) if start else F.lit(None).cast("map<int, bigint>")
+        out = out.withColumn(f"avant_{c}", F.element_at(offset, F.col("__p")) + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop("__p")
