@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.vectors import dot
 from tamis.operators.lexical import top
-from tamis.session import cut
+from tamis.session import cut, small
 
 BLOCK = 4_096
 
@@ -94,3 +94,20 @@ def margins(rows: DataFrame, query_vector: list[float], key: str, vector: str, r
         F.round(F.median(F.when(F.col("r"), F.col("cos"))) - F.median(F.when(~F.col("r"), F.col("cos"))), 6).alias("marge_medianes"),
         (F.count_if(F.col("cos") > best) + 1).alias("rang_premier"),
     )
+
+
+def margins_each(rows: DataFrame, queries: DataFrame, key: str, vector: str, label: str, query: str, query_vector: str, query_label: str) -> DataFrame:
+    """`query` and the columns of margins() for each query, over the rows but the query's own key; a row is relevant if it
+    has the query's label. The best relevant comes first, by an aggregation that combines before the shuffle; the queries
+    are broadcast if they are few."""
+    asked = small(cut(queries.where(F.col(query).isNotNull()).select(F.col(query).alias("__q"), F.col(query_vector).alias("__e"), F.col(query_label).alias("__l"))))
+    pairs = rows.crossJoin(asked).where(F.col(key).isNull() | (F.col(key) != F.col("__q")))
+    c = pairs.select("__q", (F.col(label) == F.col("__l")).alias("r"), F.round(dot(F.col(vector), F.col("__e")), 6).alias("cos"))
+    best = small(cut(c.where("r").groupBy("__q").agg(F.max("cos").alias("__best"))))
+    yes, no = F.when(F.col("r"), F.col("cos")), F.when(~F.col("r"), F.col("cos"))
+    found = c.join(best, "__q", "left").groupBy("__q").agg(
+        F.round(F.max(yes) - F.max(no), 6).alias("marge"),
+        F.round(F.median(yes) - F.median(no), 6).alias("marge_medianes"),
+        (F.count_if(F.col("cos") > F.col("__best")) + 1).alias("rang_premier"),
+    )
+    return found.withColumnRenamed("__q", query)

@@ -62,8 +62,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read_table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 0").first()
-    return dense.margins(v.where("vec_id != 0").withColumn("r", F.col("label") == q.label), q.embedding, "vec_id", "embedding", "r")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.col("label").alias("l"))
+    return dense.margins_each(v, q, "vec_id", "embedding", "label", "q", "e", "l")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:

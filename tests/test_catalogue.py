@@ -19,3 +19,13 @@ def test_shared_edges_resolve_the_source_and_count_all(spark, tmp_path):
     assert catalogue.shared_edges(spark, str(tmp_path)).first().asDict() == {"n": 6, "queue": 1, "tete": 1, "union": 2}
     spark.createDataFrame([], CHUNKS).write.parquet(str(tmp_path / "none" / "chunks.parquet"))
     assert catalogue.shared_edges(spark, str(tmp_path / "none")).first().asDict() == {"n": 0, "queue": 0, "tete": 0, "union": 0}
+
+
+def test_dense_margins_of_every_query(spark, tmp_path):
+    rows = [(100, [1.0, 0.0], 1), (101, [0.9, 0.1], 1), (102, [0.5, 0.5], 2), (103, [0.95, 0.0], 2), (200, [0.0, 1.0], 2), (300, [0.0, 0.2], None)]
+    t = "vec_id bigint, embedding array<float>, label int"
+    spark.createDataFrame(rows, t).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.q: (r.marge, r.marge_medianes, r.rang_premier) for r in catalogue.dense_margins(spark, str(tmp_path)).collect()}
+    assert got == {100: (-0.05, 0.4, 2), 200: (0.4, 0.2, 1), 300: (None, None, 1)}
+    spark.createDataFrame([], t).write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert catalogue.dense_margins(spark, str(tmp_path / "none")).count() == 0
