@@ -147,8 +147,9 @@ def fit(texts: list[str], labels: list[str], smoothing: float = 0.5, bare_weight
     return (DAMPING * out).astype(np.float32)
 
 
-def score(sym: np.ndarray, sentence: np.ndarray, n: int, model: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """Log-likelihood (n, languages) of each sentence; `sentence` has the number of each symbol's, ascending."""
+def score(sym: np.ndarray, sentence: np.ndarray, n: int, model: np.ndarray, text: np.ndarray | None = None, block: int = 1 << 18) -> np.ndarray:
+    """Log-likelihood (n, languages) of each sentence; `sentence` has the number of each symbol's, ascending. With `text`,
+    the number of each symbol's text, n-grams that run over a text's end count nothing."""
     out = np.zeros((n, model.shape[1]))
     if len(sym) < 5:
         return out
@@ -156,6 +157,8 @@ def score(sym: np.ndarray, sentence: np.ndarray, n: int, model: np.ndarray, bloc
     for lo in range(0, len(three), block):
         ll = model[three[lo : lo + block]]
         ll += model[five[lo : lo + block]]
+        if text is not None:
+            ll[text[lo : lo + len(ll)] != text[lo + 4 : lo + 4 + len(ll)]] = 0
         s = sentence[lo : lo + len(ll)]
         starts = np.concatenate(([0], np.flatnonzero(np.diff(s)) + 1))
         out[s[starts]] += np.add.reduceat(ll, starts, axis=0, dtype=np.float64)
@@ -208,24 +211,26 @@ def _confidence(ll: np.ndarray) -> np.ndarray:
 def infer(texts: list[str], model: np.ndarray, penalty: float = PENALTY) -> list[list[tuple[int, int, int, float]]]:
     """Of each text its segments (start, end, language number, confidence), in order; none if it has no letters that tell.
 
-    Positions are code points of the text as it is; a segment ends where the next begins."""
+    Positions are code points of the text as it is; a segment ends where the next begins. Each text stands between line
+    breaks that aren't its own, so that what is found in it depends on it alone."""
+    if not texts:
+        return []
     lut, kinds = symbols()
     size = np.array([len(t) for t in texts], np.int64)
-    stop = np.cumsum(size)
-    cp = np.minimum(code_points(texts), 0xFFFF)
-    if not len(cp):
-        return [[] for _ in texts]
+    stop = 1 + np.cumsum(size + 1)
+    cp = np.minimum(code_points(["\n", *(t + "\n" for t in texts)]), 0xFFFF)
     sym, kind = lut[cp], kinds[cp]
     hide_quotes(cp, kind, sym)
     ends = np.zeros(len(cp), bool)
     ends[:-1] = (kind[:-1] == 1) & (kind[1:] >= 2)
     ends |= kind == 3
-    ends[stop[size > 0] - 1] = True
+    ends[stop[size > 0] - 2] = False
     number = np.concatenate(([0], np.cumsum(ends[:-1])))
     keep = telling(sym)
     first = np.concatenate(([0], np.flatnonzero(ends[:-1]) + 1))
-    ll = score(sym[keep], number[keep], len(first), model)
     of = np.searchsorted(stop, first, side="right")
+    of[0] = -1
+    ll = score(sym[keep], number[keep], len(first), model, of[number[keep]])
     begin = np.searchsorted(of, np.arange(len(texts) + 1))
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     some = np.flatnonzero(begin[1:] > begin[:-1])
@@ -238,7 +243,7 @@ def infer(texts: list[str], model: np.ndarray, penalty: float = PENALTY) -> list
         if gain[k] <= penalty:
             out[t] = [(0, int(size[t]), int(lang[k]), float(sure[k]))]
             continue
-        rows, base = ll[begin[t] : begin[t + 1]], stop[t] - size[t]
+        rows, base = ll[begin[t] : begin[t + 1]], stop[t] - size[t] - 1
         which = path(rows, *mixture(rows, penalty))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(which)]))
         for a, b in zip(cuts, cuts[1:]):

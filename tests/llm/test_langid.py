@@ -42,6 +42,15 @@ def test_quotes_and_numbers_say_nothing(model):
     assert langid.infer(["", "  ", "12 - 3 %", "\n"], model) == [[], [], [], []]
 
 
+def test_a_text_depends_on_itself(model):
+    texts = [" «" + EN[0], FR[0][:9], "", "a", FR[1] + " »", EN[1][:14], "«Merci» " + ES[0], " ", " ".join(FR) + "\n" + " ".join(EN), PT[2][:12] + "  ", "qu", "« la page » of the month"]
+    alone = [langid.infer([t], model)[0] for t in texts]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1), (4, 0, 11, 2, 6, 9, 1, 5, 3, 10, 8, 7)):
+        for k, found in zip(order, langid.infer([texts[k] for k in order], model)):
+            assert [s[:3] for s in found] == [s[:3] for s in alone[k]]
+            assert [s[3] for s in found] == pytest.approx([s[3] for s in alone[k]], abs=1e-9)
+
+
 def test_pruning_is_exact(model):
     lut, _ = langid.symbols()
     ll = np.array([[3.0, 0, 1, 0], [2.0, 1, 0, 0], [1.0, 1.5, 0, 0]])
