@@ -66,6 +66,12 @@ def chunk_sizes(chunks: DataFrame, by: str, least: int = 220) -> DataFrame:
     return chunks.where("texte is not null").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"), F.min(n).alias("mini"), F.floor(F.median(n)).cast("bigint").alias("mediane"), F.round(F.avg(n), 1).alias("moyenne"), F.max(n).alias("maxi"), F.count_if(n < least).alias("sous_mini"))
 
 
+def below_minimum(chunks: DataFrame, least: int = 220) -> DataFrame:
+    """`id`: `doc:pN` of each document and page with a passage below `least`, once and sorted; a missing doc or page is left blank."""
+    place = F.concat(F.coalesce("doc", F.lit("")), F.lit(":p"), F.coalesce(F.col("page").cast("string"), F.lit("")))
+    return chunks.where(F.length("texte") < least).select(place.alias("id")).distinct().orderBy("id")
+
+
 def provenance_mismatches(chunks: DataFrame, sources: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """`champ`, `differences`: passages whose field isn't the registry's (null as ""), by resolved source; `champ` = `source`
     counts those without one."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.rulepack import STOP_WORDS
 from tamis.functions.vectors import to_int8
-from tamis.operators.audit import cache_misses
+from tamis.operators.audit import below_minimum, cache_misses, perimeter
 from tamis.session import cut
 
 
@@ -42,11 +42,18 @@ def embed_missing(texts: DataFrame, text: str, cache: DataFrame, embed: Callable
     embed(new.join(cut(cache_misses(texts, cache, text, pooling)), "cle", "left_semi")).write.mode("append").parquet(path)
 
 
-def manifest(chunks: DataFrame, terms: DataFrame, corpus: DataFrame, least: int = 220) -> DataFrame:
-    """One row on what was built: passages and their sizes, terms, mean length, the stop list's digest."""
+def manifest(chunks: DataFrame, terms: DataFrame, corpus: DataFrame, least: int = 220, sources: DataFrame | None = None, embedding: dict | None = None) -> DataFrame:
+    """One row on what was built: passages and their sizes, `ids_sous_mini` (sorted `doc:pN` of those below `least`), terms,
+    mean length, the stop list's digest; `perimetre` (state -> sources of the registry `sources`) and `embeddings` (identity
+    of the embedder as given: model, dimension, pooling, digest), null where not given."""
     n = F.length("texte")
     c = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("car_total"), F.min(n).alias("car_min"), F.floor(F.median(n)).alias("car_median"), F.round(F.avg(n), 1).alias("car_moyen"), F.max(n).alias("car_max"), F.count_if(n < least).alias("sous_mini"), F.count_distinct("doc").alias("documents")).first().asDict()
     t, s = terms.count(), corpus.first()
     row = {**c, "n_termes": t, "avgdl": round(s.avgdl, 1), "liste_arret_n": len(STOP_WORDS)}
     df = chunks.sparkSession.createDataFrame([tuple(row.values())], list(row))
-    return df.withColumn("liste_arret_sha", F.left(F.sha2(F.lit(",".join(sorted(STOP_WORDS))), 256), F.lit(16)))
+    df = df.withColumn("liste_arret_sha", F.left(F.sha2(F.lit(",".join(sorted(STOP_WORDS))), 256), F.lit(16)))
+    df = df.crossJoin(below_minimum(chunks, least).agg(F.sort_array(F.collect_list("id")).alias("ids_sous_mini")))
+    states = perimeter(sources).groupBy("etat").agg(F.count(F.lit(1)).alias("n")).collect() if sources is not None else []
+    counts = F.create_map(*[F.lit(x) for r in sorted(states) for x in (r.etat, r.n)]) if states else F.lit(None).cast("map<string, bigint>")
+    who = F.create_map(*[F.lit(str(x)) for kv in sorted(embedding.items()) for x in kv]) if embedding else F.lit(None).cast("map<string, string>")
+    return df.withColumns({"perimetre": counts, "embeddings": who})
