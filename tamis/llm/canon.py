@@ -5,10 +5,9 @@ every blank of the line is a plain space, line ends are a newline without blanks
 scripts, full-width forms and ligatures are the plain letters they look like, and accents are composed. Case, accents,
 digits, words, punctuation, the number of inner blanks and line breaks all stay.
 
-Words with such characters run through a trie of the vocabulary's spellings: a weighted edit automaton that passes
-ignorable characters and look-alikes at no cost, so a word that can be read as one of the vocabulary gets that spelling.
-Words that match none are rewritten by the table. As each look-alike stands for exactly one plain character, both ways
-agree on which texts are equal whatever the vocabulary holds; it fixes spellings and saves the rewriting.
+The table alone gives the form. Words with such characters may also run through a trie of a vocabulary's spellings, which
+passes ignorable characters and look-alikes at no cost; but its edges follow the same table and the whole text goes through
+the table afterwards, so it decides nothing, whatever the vocabulary holds. Queries that give none do without it.
 """
 
 from __future__ import annotations
