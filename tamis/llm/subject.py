@@ -164,38 +164,64 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], rounds: int = 30, l2: float = 1e-6) -> Model:
-    """A model from documents, some with labels; every fifth is kept back for the thresholds (none if they are few)."""
-    s = many_sentences(texts)
-    given = np.array([[a in x for a in areas] for x in labels], np.float64).reshape(len(labels), len(areas))
-    k = len(areas)
-    weight, bias = np.zeros((1 << BITS, k), np.float32), np.full(k, -3.0, np.float32)
-    if not len(s.start):
-        return Model(areas, weight, bias, np.full(k, 0.5))
-    target = attribute(s, given)[:, :k].astype(np.float32)
-    held = s.of % 5 == 4 if len(texts) >= 50 else np.zeros(len(s.of), bool)
+def _learn(s: Sentences, target: np.ndarray, use: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, their weights, bias, probabilities of all sentences), learnt from the sentences in `use`."""
+    k = target.shape[1]
+    bias = np.full(k, -3.0, np.float32)
     used, small = np.unique(s.feature, return_inverse=True)
     spread = s.spread()
     w, m, v = (np.zeros((len(used), k), np.float32) for _ in range(3))
-    n = max(1, int((~held).sum()))
+    n = max(1, int(use.sum()))
     for t in range(1, rounds + 1):
         z = _by_sentence(w, small, s.start) + bias
-        err = (_sigmoid(z) - target) * (~held)[:, None]
+        err = (_sigmoid(z) - target) * use[:, None]
         grad = (_by_feature(err, small, spread, len(used)) / n + l2 * w).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         bias -= np.float32(0.5) * err.sum(0) / n
+    return used, w, bias.astype(np.float32), _sigmoid(_by_sentence(w, small, s.start) + bias)
+
+
+def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], rounds: int = 30, l2: float = 1e-6) -> Model:
+    """A model from documents, some with labels. The thresholds are calibrated on the labels of every fifth labelled document
+    by a model that saw neither them nor the document's sentences (on all if they are few); the model itself is then learnt
+    from all."""
+    s = many_sentences(texts)
+    given = np.array([[a in x for a in areas] for x in labels], np.float64).reshape(len(labels), len(areas))
+    k = len(areas)
+    weight = np.zeros((1 << BITS, k), np.float32)
+    if not len(s.start):
+        return Model(areas, weight, np.full(k, -3.0, np.float32), np.full(k, 0.5))
+    learn = lambda labelled, use: _learn(s, attribute(s, labelled)[:, :k].astype(np.float32), use, rounds, l2)
+    labelled = given.any(1)
+    back = labelled & (np.cumsum(labelled) % 5 == 0) if len(texts) >= 50 else np.zeros(len(texts), bool)
+    threshold = None
+    if back.any():
+        p = learn(np.where(back[:, None], 0, given), ~back[s.of])[3]
+        threshold = calibrate(p, s.of, given, back)
+    used, w, bias, p = learn(given, np.ones(len(s.of), bool))
     weight[used] = w
-    p = _sigmoid(_by_sentence(w, small, s.start) + bias)
-    check = held if held.any() else ~held
+    return Model(areas, weight, bias, calibrate(p, s.of, given, labelled) if threshold is None else threshold)
+
+
+def calibrate(p: np.ndarray, of: np.ndarray, given: np.ndarray, check: np.ndarray, few: int = 20) -> np.ndarray:
+    """Each area's threshold of the sentences' probabilities `p`, by the labels `given` to the documents marked in `check`.
+
+    As labels are missing for some areas that a document treats, the measure is recall of the given ones, squared, over
+    the documents found; areas with fewer than `few` labels lean on all areas' measure in proportion."""
     grid = np.linspace(0.2, 0.8, 25)
-    threshold = np.empty(k)
-    for c in range(k):
-        truth = target[check, c] > 0.5
-        hit = [((p[check, c] >= g) & truth).sum() * 2 / max(1, (p[check, c] >= g).sum() + truth.sum()) for g in grid]
-        best = np.flatnonzero(np.array(hit) >= max(hit) - 1e-9)
-        threshold[c] = grid[best[len(best) // 2]]
-    return Model(areas, weight, bias.astype(np.float32), threshold)
+    n = np.maximum(1, np.bincount(of, minlength=len(given)))[:, None]
+    hit, found = np.zeros((25, p.shape[1])), np.zeros((25, p.shape[1]))
+    for g, t in enumerate(grid):
+        treats = np.stack([np.bincount(of, weights=p[:, c] >= t, minlength=len(given)) for c in range(p.shape[1])], 1) / n >= SHARE - 1e-9
+        hit[g], found[g] = (treats & (given > 0))[check].sum(0), treats[check].sum(0)
+    labels = given[check].sum(0)
+    measure = lambda h, f, m: (h / np.maximum(1, m)) ** 2 / np.maximum(1, f) * np.maximum(1, m)
+    own, all_areas = measure(hit, found, labels), measure(hit.sum(1), found.sum(1), labels.sum())
+    trust = np.minimum(1, labels / few)
+    score = trust * own + (1 - trust) * all_areas[:, None]
+    best = [np.flatnonzero(score[:, c] >= score[:, c].max() - 1e-9) for c in range(p.shape[1])]
+    return np.array([grid[b[len(b) // 2]] for b in best])
 
 
 def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:

@@ -63,3 +63,14 @@ def test_train_on_nothing(spark):
     model = subject.train(d, spark.createDataFrame([], "doc_id bigint, domaine string"), spark.createDataFrame([("a",)], "domaine string"))
     hits, n = subject.classify(["Un deux trois quatre cinq."], model)
     assert hits.sum() == 0 and n.tolist() == [1]
+
+
+def test_thresholds_follow_held_back_labels():
+    # Six sentences a document; one at 0.7 in documents with the label, one at 0.4 in those without.
+    given = np.array([[1.0]] * 30 + [[0.0]] * 30)
+    p = np.full((360, 1), 0.1)
+    p[::6, 0] = np.where(given[:, 0] > 0, 0.7, 0.4)
+    (t,) = subject.calibrate(p, np.repeat(np.arange(60), 6), given, np.ones(60, bool))
+    assert 0.4 < t <= 0.7
+    only = np.arange(60) < 30
+    assert subject.calibrate(p, np.repeat(np.arange(60), 6), given, only)[0] <= 0.7
