@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.session import cut, small
+from tamis.session import cut
 
+#: Bits of one map: that many (4 KB) make a row of the table of maps.
+MAP_BITS = 32_768
+#: Bits of all maps together at most: 32 MB, whatever the data.
+MOST_BITS = 1 << 28
 
-def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame | None = None) -> DataFrame:
+
+def _place(key: list[str], bits: int) -> tuple[Column, Column]:
+    """(number of the map, bit in it) of a row's key."""
+    at = F.pmod(F.xxhash64(*key), F.lit(bits))
+    return F.shiftright(at, 15).cast("int"), at % MAP_BITS
+
+
+def _set(maps: str, bit: Column) -> Column:
+    """Whether the bit is set in the map that was joined to the row; false without a map."""
+    byte = F.conv(F.hex(F.substring(F.col(maps), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
+def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """One row of each `key`: that with the smallest `by` (nulls last; further ties by the whole row's hash).
 
-    Only the keys are shuffled to find those delivered more than once; the wide rows of all other keys stay where they
-    are, and of those the first is found by an aggregation that combines before the shuffle. Rows whose key has a null are kept as they are, for nothing says that they are the same. Empty input gives
-    empty output; columns are kept, whatever their names.
+    Only keys are shuffled to find those delivered more than once. Hashes of these become bit maps, 256 bits a key and
+    `most_bits` at most, that every task gets: a row whose bit isn't set is the only one of its key and stays where it is;
+    the others are reduced to one per key by an aggregation that combines before the shuffle. Neither side of a join is
+    ever a list of keys, whatever their number; beyond a million repeated keys more single rows hit a bit by chance and
+    take the second way (one in ten at 27 million), with the same result. Rows whose key has a null are kept as they are,
+    for nothing says that they are the same. Empty input gives empty output; columns are kept, whatever their names.
     """
     null = F.lit(False)
     for k in key:
         null = null | F.col(k).isNull()
-    again = (key_rows if key_rows is not None else df).select(*key).where(~null).groupBy(*key).count().where("count > 1").select(*key)
-    again = small(cut(again))
-    many = df.join(again, key, "left_semi")
+    again = cut((key_rows if key_rows is not None else df).select(*key).where(~null).groupBy(*key).count().where("count > 1").select(*key))
+    bits = MAP_BITS
+    while bits < min(256 * again.count(), most_bits):
+        bits *= 2
+    number, bit = _place(key, bits)
+    n, m = "__n", "__m"
+    while {n, m} & set(df.columns):
+        n, m = n + "_", m + "_"
+    maps = F.broadcast(cut(again.groupBy(number.alias(n)).agg(F.bitmap_construct_agg(bit).alias(m))))
+    rows = df.withColumn(n, number).join(maps, n, "left")
+    hit = _set(m, bit) & ~null
+    stay, many = rows.where(~hit).select(*df.columns), rows.where(hit)
     order = F.struct(F.col(by).isNull().alias("a"), F.col(by).alias("b"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in key]).alias("c"))
     once = many.groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)]), order).alias("r"))
-    once = once.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(df.columns)])
-    return df.join(again, key, "left_anti").select(*df.columns).unionByName(once)
+    return stay.unionByName(once.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(df.columns)]))

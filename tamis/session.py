@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which it may be.
+BROADCAST_BYTES = 32_000_000
 
 
 def local_session(cpus: int | str = 8, memory: str = "20g", partitions: int = 8) -> SparkSession:
@@ -22,6 +26,7 @@ def local_session(cpus: int | str = 8, memory: str = "20g", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -46,37 +51,50 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that all executors share: the session's `spark.checkpoint.dir`. A local session without one gets a folder
+    of its own, removed when Python ends; on a cluster that is an error, as no machine's folder is shared there."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if at is None:
         now = sc._jsc.sc().getCheckpointDir()
-        at = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="tamis-checkpoint-")
+        if now.isDefined():
+            return now.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tamis-checkpoint-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it again, so that what follows neither recomputes it nor depends on an executor."""
+    """Writes `df` to the shared folder and reads it again, so that what follows neither recomputes it nor depends on an executor.
+    With spark.cleaner.referenceTracking.cleanCheckpoints (as in local_session()) it is deleted when nothing refers to it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already cut) with a broadcast hint if it has at most `rows` rows; without a hint otherwise, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (already cut) with a broadcast hint if it has at most `rows` rows of at most `size` bytes (as JSON) in all; without
+    a hint otherwise, so that the join shuffles."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found.n <= rows and found.b <= size else df
 
 
 #: Tables with long texts, whose rows cost far more to work on than to move.
 TEXTS = ("chunks", "documents")
 
 
+#: Splits up to which a table of texts is spread: at most as many times spark.sql.files.maxPartitionBytes is moved, 2 GB.
+SPREAD_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores, if its files give fewer partitions than there are (a file of one row group is one task however
-    large); unchanged otherwise, as with any input worth a cluster."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """`df` over all cores, if its files give fewer splits than there are cores and SPREAD_SPLITS at most (a file of one row
+    group is one task however large); unchanged otherwise, so that no more than those splits' bytes are ever moved."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SPREAD_SPLITS + 1) else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

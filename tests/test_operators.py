@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamis.functions import vectors as vx
 from tamis.operators import audit, dense, evaluate, fusion, gate, lexical, segment
 from tamis.operators.delivery import first_delivery
+from tamis.session import small
 
 
 def test_first_delivery(spark):
@@ -18,6 +19,35 @@ def test_first_delivery(spark):
     assert first_delivery(df.where("false"), ["i"], "le").count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 1 << 20])
+def test_first_delivery_joins_no_list_of_keys(spark, bits):
+    random.seed(3)
+    rows = [(random.choice([None, *range(400)]), random.choice("ab"), f"{random.random()}", random.choice([None, 1, 2])) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "i bigint, __n string, texte string, le int").repartition(3)
+    out = first_delivery(df, ["i", "__n"], "le", most_bits=bits)
+    want = {}
+    for r in rows:
+        if r[0] is not None:
+            want.setdefault(r[:2], []).append(r)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(r[2] for r in got if r[0] is None) == sorted(r[2] for r in rows if r[0] is None)
+    got = {r[:2]: r for r in got if r[0] is not None}
+    assert got.keys() == want.keys()
+    assert all(r in want[k] and (r[3] is None or r[3] == min(x[3] for x in want[k] if x[3] is not None)) and (r[3] is not None or all(x[3] is None for x in want[k])) for k, r in got.items())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = first_delivery(df, ["i", "__n"], "le", most_bits=bits)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_small_looks_at_bytes_and_rows(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 5, "t string")
+    hinted = lambda **k: "ResolvedHint" in small(df, **k)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and not hinted(rows=4) and not hinted(size=4000)
+
+
 def test_bm25_equals_brute_force(spark):
     docs = [(0, "le mil et le sorgho"), (1, "mil mil mil"), (2, None), (3, ""), (4, "eau du puits"), (5, "mil mil mil")]
     q = [(9, "mil eau mil"), (8, "absent"), (7, None)]
