@@ -40,6 +40,10 @@ ORACLE: dict[str, str] = {
       p AS (SELECT i, m, unnest(regexp_split_to_array(regexp_replace(texte, '([.!?…])({WS}+\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), '[\n\r\x{{0b}}\x{{0c}}\x{{85}}\x{{2028}}\x{{2029}}]')) AS s FROM x)
       SELECT i, CASE WHEN max(length(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')) - m) > 0 THEN 'forcee' ELSE 'naturelle' END AS coupe FROM p GROUP BY i""",
     "p3_found": "WITH " + ", ".join(_forms(*t) for t in _TABLES) + " " + " UNION ALL ".join(_pairs(*t) for t in _TABLES),
+    "p3_classes": "WITH " + ", ".join(_forms(*t) for t in _TABLES) + ", r AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS origine, k, t, f FROM f_{t}" for t, _, _ in _TABLES) + """),
+      g AS (SELECT origine, f, t, min(k) AS graphie, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT origine, f, min(graphie) AS classe, sum(n) AS tous FROM g GROUP BY ALL HAVING count(*) > 1),
+      x AS (SELECT origine, k AS cle, classe, graphie, CAST(tous - n AS BIGINT) AS liens FROM r JOIN g USING (origine, f, t) JOIN c USING (origine, f))
+      SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY origine, cle ORDER BY classe, graphie, liens) = 1""",
     "p4_found": rf"""WITH {CHUNKS}, f AS (SELECT i, strip_accents(lower({consistent("texte")})) AS t FROM c1 WHERE texte IS NOT NULL), n AS (SELECT count(*) AS n FROM f),
       o AS (SELECT i, unnest(regexp_extract_all(t, '[\p{{L}}\p{{Nd}}]+')) AS terme FROM f), c AS (SELECT terme, count(*) AS n_occ, count(DISTINCT i) AS n_chunks FROM o GROUP BY 1)
       SELECT terme, n_occ, n_chunks, CASE WHEN n_chunks < 3 THEN 'rare' WHEN n_chunks > 0.2 * n THEN 'commun' ELSE 'utile' END AS marque FROM c, n""",

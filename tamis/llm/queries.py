@@ -41,17 +41,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("i").agg(F.min_by("f", F.coalesce("charge_le", F.lit("9999-01-01").cast("timestamp"))).alias("f")).select("i", F.when(F.col("f"), "forcee").otherwise("naturelle").alias("coupe"))
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`origine`, `cle`, `texte` of the two tables."""
+    return _texts(spark, sf_dir).select("origine", "cle", "texte")
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = partial(read_table, spark, sf_dir)
-    words = canon.vocabulary(read("chunks"), "texte")
-    return read("chunks").select(F.lit("chunks").alias("origine"), F.col("i").alias("cle"), canon.consistent(F.col("texte"), words).alias("forme")).unionByName(read("qcm").select(F.lit("qcm").alias("origine"), F.col("ligne").alias("cle"), canon.consistent(F.col("requete"), words).alias("forme")))
+    rows = _read(spark, sf_dir)
+    return canon.consistent(rows, "texte", "forme", canon.vocabulary(rows, "texte")).drop("texte")
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir)
+    return cut(canon.same_look(rows, "cle", "texte", ["origine"], canon.vocabulary(rows, "texte")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = partial(read_table, spark, sf_dir)
-    words = canon.vocabulary(read("chunks"), "texte")
-    rows = [canon.same_look(read(t).select(F.lit(t).alias("origine"), F.col(k).alias("cle"), F.col(x).alias("texte")), "cle", "texte", ["origine"], words) for t, k, x in (("chunks", "i", "texte"), ("qcm", "ligne", "requete"))]
-    return canon.look_alike_pairs(cut(rows[0].unionByName(rows[1])), "cle", ["origine"])
+    return canon.look_alike_pairs(_digests(spark, sf_dir), "cle", ["origine"])
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.look_alike_classes(_digests(spark, sf_dir), "cle", ["origine"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +109,4 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject.composition(p8_subjects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p3_found, p3_forms, p3_classes, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
