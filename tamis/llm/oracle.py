@@ -39,6 +39,9 @@ ORACLE: dict[str, str] = {
     "p2_found": rf"""WITH {CHUNKS}, x AS (SELECT i, texte, chunking.maxi_car AS m FROM c1 JOIN manifest USING (lot) WHERE length(texte) > chunking.maxi_car AND regexp_matches(texte, '[^' || substr('{WS}', 2))),
       p AS (SELECT i, m, unnest(regexp_split_to_array(regexp_replace(texte, '([.!?…])({WS}+\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), '[\n\r\x{{0b}}\x{{0c}}\x{{85}}\x{{2028}}\x{{2029}}]')) AS s FROM x)
       SELECT i, CASE WHEN max(length(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')) - m) > 0 THEN 'forcee' ELSE 'naturelle' END AS coupe FROM p GROUP BY i""",
+    "p2_check": rf"""WITH {CHUNKS} SELECT i, chunking.maxi_car AS limite, CAST(0 AS BIGINT) AS hors_limite, length(regexp_replace(texte, '{WS}+', '', 'g')) AS caracteres,
+      length(texte) - length(regexp_replace(texte, '^{WS}+', '')) AS debut, length(regexp_replace(texte, '{WS}+$', '')) AS fin
+      FROM c1 JOIN manifest USING (lot) WHERE length(texte) > chunking.maxi_car AND regexp_matches(texte, '[^' || substr('{WS}', 2))""",
     "p3_found": "WITH " + ", ".join(_forms(*t) for t in _TABLES) + " " + " UNION ALL ".join(_pairs(*t) for t in _TABLES),
     "p3_classes": "WITH " + ", ".join(_forms(*t) for t in _TABLES) + ", r AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS origine, k, t, f FROM f_{t}" for t, _, _ in _TABLES) + """),
       g AS (SELECT origine, f, t, min(k) AS graphie, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT origine, f, min(graphie) AS classe, sum(n) AS tous FROM g GROUP BY ALL HAVING count(*) > 1),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm import canon, cap, langid, mixture, split, subject, terms, tokens
 from tamis.llm.oracle import ORACLE  # noqa: F401
+from tamis.operators.delivery import first_delivery
 from tamis.session import cut, read_table
 
 
@@ -19,25 +20,42 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _languages(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return langid.languages(rows, "texte", ["origine", "cle", "langue", "le"], langid.train(_texts(spark, sf_dir), "texte", "langue"))
+
+
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir)
-    return langid.languages(rows, "texte", ["origine", "cle", "langue", "le"], langid.train(rows, "texte", "langue"))
+    return _languages(spark, sf_dir, first_delivery(_texts(spark, sf_dir), ["origine", "cle"], "le"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = langid.mislabelled(p1_languages(spark, sf_dir), "langue").where("cle is not null")
+    cases = langid.mislabelled(_languages(spark, sf_dir, _texts(spark, sf_dir)), "langue").where("cle is not null")
     once = cases.groupBy("origine", "cle").agg(F.min_by(F.col("segments.langue"), F.coalesce("le", F.lit("9999-01-01").cast("timestamp"))).alias("langues"))
     return once.select("origine", "cle", F.posexplode("langues").alias("seg", "langue")).withColumn("seg", F.col("seg").cast("bigint"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str, rows: DataFrame, *more: str) -> DataFrame:
+    rows = split.passages(rows, read_table(spark, sf_dir, "manifest"))
+    return split.split_oversized(rows, "texte", "maxi", "mini", "chevauchement", ["i", "doc", "page", "charge_le", *more], "off", "cible")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "chunks").select("i", "doc", "page", "off", "texte", "lot", "charge_le")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = partial(read_table, spark, sf_dir)
-    rows = split.passages(read("chunks").select("i", "doc", "page", "off", "texte", "lot", "charge_le"), read("manifest"))
-    return split.split_oversized(rows, "texte", "maxi", "mini", "chevauchement", ["i", "doc", "page", "charge_le"], "off")
+    return _pieces(spark, sf_dir, first_delivery(_passages(spark, sf_dir), ["i"], "charge_le"))
+
+
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized passage: pieces beyond its limit, the non-blank characters of the pieces' own parts, where these start and end."""
+    own = F.substring("texte_morceau", (F.col("propre") - F.col("a") + 1).cast("int"), F.length("texte_morceau"))
+    rows = _pieces(spark, sf_dir, first_delivery(_passages(spark, sf_dir), ["i"], "charge_le"), "maxi")
+    return rows.groupBy("i", F.col("maxi").alias("limite")).agg(F.count_if(F.length("texte_morceau") > F.col("maxi")).alias("hors_limite"), F.sum(F.length(F.regexp_replace(own, r"(?U)\s+", ""))).alias("caracteres"), F.min("propre").alias("debut"), F.max("b").alias("fin"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = p2_pieces(spark, sf_dir).groupBy("i", "charge_le").agg(F.max("forcee").alias("f"))
+    cases = _pieces(spark, sf_dir, _passages(spark, sf_dir)).groupBy("i", "charge_le").agg(F.max("forcee").alias("f"))
     return cases.groupBy("i").agg(F.min_by("f", F.coalesce("charge_le", F.lit("9999-01-01").cast("timestamp"))).alias("f")).select("i", F.when(F.col("f"), "forcee").otherwise("naturelle").alias("coupe"))
 
 
@@ -65,7 +83,7 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_frequencies(read_table(spark, sf_dir, "chunks"))
+    return terms.term_frequencies(read_table(spark, sf_dir, "chunks"), words=canon.vocabulary(_read(spark, sf_dir), "texte"))
 
 
 def p5_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +127,4 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject.composition(p8_subjects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p3_found, p3_forms, p3_classes, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p2_check, p3_found, p3_forms, p3_classes, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}

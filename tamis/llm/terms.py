@@ -1,10 +1,10 @@
 """Problem 4: occurrences and records of every distinct term, with marks for too rare and too common.
 
-Heavy-light aggregation. A small sample of the texts names terms that are probably heavy; their list, of fixed size, goes
-to every task. A task counts heavy terms in two arrays (occurrences, records), which it sends once, at its end; all other
-terms it counts in a table that it sends whenever the table reaches a bound. The shuffle on the term carries the light rows and, of the heavy ones, the finished
-arrays only (tasks x list rows at most); the two tables share no term, so the sum per term is their union. Both ways
-count every row exactly: the sample only chooses the way.
+Heavy-light aggregation. The terms of the vocabulary's most frequent words are taken to be heavy; their list, of fixed
+size, goes to every task. A task counts heavy terms in two arrays (occurrences, records), which it sends once, at its end;
+all other terms it counts in a table that it sends whenever the table reaches a bound. The arrays are reduced by place, a row
+a task, and only the other terms' tables are shuffled by term; as the two share no term, the result is their union. Both
+ways count every row exactly: the list only chooses the way.
 """
 
 from __future__ import annotations
@@ -75,22 +75,20 @@ def _terms(words: tuple[str, ...]) -> Terms:
     return Terms(words)
 
 
-def heavy_terms(df: DataFrame, text: str, words: tuple[str, ...] = (), sample_rows: int = 2_000, size: int = 1_024) -> tuple[str, ...]:
-    """The `size` terms of most records among about `sample_rows` rows: a guess of what is heavy, which changes no count."""
-    of, found = _terms(words), Counter()
-    for r in df.select(F.col(text).alias("t")).where("t is not null").limit(sample_rows).collect():
-        found.update(set(of(r.t)))
-    return tuple(w for w, _ in found.most_common(size))
+def heavy_terms(words: tuple[str, ...], size: int = 1_024) -> tuple[str, ...]:
+    """The first `size` terms of `words`, the most frequent first (see canon.vocabulary()): a guess of what is heavy, which
+    changes no count."""
+    of = _terms(())
+    return tuple(dict.fromkeys(t for w in words for t in of(w)))[:size]
 
 
-def count_terms(df: DataFrame, text: str, words: tuple[str, ...] = (), heavy: tuple[str, ...] | None = None, light_rows: int = 300_000) -> DataFrame:
-    """`terme`, `n_occ`, `n_chunks` over all rows of `df`: every distinct term once, and a row with null `terme` whose
-    `n_chunks` is the number of non-null texts.
+def count_parts(df: DataFrame, text: str, words: tuple[str, ...] = (), heavy: tuple[str, ...] = (), light_rows: int = 300_000) -> DataFrame:
+    """What the tasks count: rows of a light `terme` with `n_occ`, `n_chunks`, and of each task one without, with the arrays
+    `occ`, `rec` of the heavy terms and the number of non-null texts as `n_chunks`.
 
     Null texts have no terms, empty and blank ones neither; equal rows count as often as they are there. `light_rows`
-    bounds a task's table of light terms, `heavy` is the broadcast list (by default from heavy_terms()).
+    bounds a task's table of light terms, `heavy` is the list of terms that every task gets.
     """
-    heavy = heavy_terms(df, text, words) if heavy is None else heavy
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, at = _terms(words), {w: k for k, w in enumerate(heavy)}
@@ -98,10 +96,11 @@ def count_terms(df: DataFrame, text: str, words: tuple[str, ...] = (), heavy: tu
         occ, rec = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
         light_occ: Counter = Counter()
         light_rec: Counter = Counter()
+        schema = pa.schema([("terme", pa.string()), ("n_occ", pa.int64()), ("n_chunks", pa.int64()), ("occ", pa.list_(pa.int64())), ("rec", pa.list_(pa.int64()))])
 
         def flush() -> pa.RecordBatch:
             names = list(light_occ)
-            return pa.RecordBatch.from_pydict({"terme": pa.array(names, pa.string()), "n_occ": pa.array([light_occ[w] for w in names], pa.int64()), "n_chunks": pa.array([light_rec[w] for w in names], pa.int64()), "lourd": pa.array([False] * len(names), pa.bool_())})
+            return pa.RecordBatch.from_pydict({"terme": names, "n_occ": [light_occ[w] for w in names], "n_chunks": [light_rec[w] for w in names], "occ": [None] * len(names), "rec": [None] * len(names)}, schema)
 
         for batch in batches:
             lists = [of(t) for t in batch.column(0).to_pylist() if t is not None]
@@ -117,11 +116,19 @@ def count_terms(df: DataFrame, text: str, words: tuple[str, ...] = (), heavy: tu
                 light_occ.clear()
                 light_rec.clear()
         yield flush()
-        seen = np.flatnonzero(occ)
-        yield pa.RecordBatch.from_pydict({"terme": pa.array([*(heavy[k] for k in seen), None], pa.string()), "n_occ": pa.array([*occ[seen].tolist(), 0], pa.int64()), "n_chunks": pa.array([*rec[seen].tolist(), n], pa.int64()), "lourd": pa.array([True] * (len(seen) + 1), pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"terme": [None], "n_occ": [0], "n_chunks": [n], "occ": [occ.tolist()], "rec": [rec.tolist()]}, schema)
 
-    parts = df.select(F.col(text)).mapInArrow(count, "terme string, n_occ bigint, n_chunks bigint, lourd boolean")
-    return parts.groupBy("terme").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_chunks").alias("n_chunks"))
+    return df.select(F.col(text)).mapInArrow(count, "terme string, n_occ bigint, n_chunks bigint, occ array<bigint>, rec array<bigint>")
+
+
+def merge_parts(parts: DataFrame, heavy: tuple[str, ...] = ()) -> DataFrame:
+    """`terme`, `n_occ`, `n_chunks` of `parts` (from count_parts(), cut): every distinct term once."""
+    light = parts.where("terme is not null").groupBy("terme").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_chunks").alias("n_chunks"))
+    if not heavy:
+        return light
+    places = parts.where("terme is null").select(F.posexplode(F.arrays_zip("occ", "rec")).alias("k", "x")).groupBy("k").agg(F.sum("x.occ").alias("n_occ"), F.sum("x.rec").alias("n_chunks"))
+    names = F.array(*map(F.lit, heavy))
+    return light.unionByName(places.where("n_occ > 0").select(F.get(names, F.col("k")).alias("terme"), "n_occ", "n_chunks"))
 
 
 def mark_terms(counts: DataFrame, n_records: int, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
@@ -131,8 +138,10 @@ def mark_terms(counts: DataFrame, n_records: int, rare_below: int = 3, common_ab
 
 
 def term_frequencies(chunks: DataFrame, key: str = "i", text: str = "texte", by: str = "charge_le", words: tuple[str, ...] = ()) -> DataFrame:
-    """Terms of all passages with their counts and marks; a passage delivered again counts once."""
+    """Terms of all passages with their counts and marks; a passage delivered again counts once. `words`: the vocabulary of
+    problem 3, which also names the heavy terms."""
     once = first_delivery(chunks.select(key, by, text), [key], by, key_rows=chunks)
-    counts = cut(count_terms(once, text, words))
-    n = counts.where("terme is null").agg(F.sum("n_chunks")).first()[0] or 0
-    return mark_terms(counts.where("terme is not null"), n)
+    heavy = heavy_terms(words)
+    parts = cut(count_parts(once, text, words, heavy))
+    n = parts.where("terme is null").agg(F.sum("n_chunks")).first()[0] or 0
+    return mark_terms(merge_parts(parts, heavy), n)

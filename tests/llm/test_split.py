@@ -41,6 +41,38 @@ def test_edit_is_local():
     assert len(new - cut) <= 4
 
 
+def text_of(seed, sentences):
+    r = random.Random(seed)
+    words = "sol mil eau pluie champ semis dose zone village recolte fumure paysan".split()
+    return " ".join(" ".join(r.choices(words, k=r.randint(4, 22))).capitalize() + r.choice(".!?") for _ in range(sentences))
+
+
+def test_sizes_are_near_the_target():
+    for limit, least, target in ((955, 220, 700), (1200, 220, 880), (500, 100, 250)):
+        sizes = sorted(p.b - p.a for seed in range(40) for p in split.split(text_of(seed, 300), limit, least, 1, target)[:-1])
+        assert abs(sum(sizes) / len(sizes) - target) < 0.2 * target and abs(sizes[len(sizes) // 2] - target) < 0.25 * target
+        assert sizes[0] >= least - 1
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 2])
+def test_edits_are_local_in_many_texts(overlap):
+    changed = []
+    for seed in range(120):
+        t = text_of(seed, 250)
+        cut = {t[p.a : p.b] for p in split.split(t, 955, 220, overlap, 700)}
+        mid = t.index(". ", random.Random(seed).randrange(len(t) * 3 // 4)) + 2
+        edited = t[:mid] + "Une phrase de plus. " + t[mid:]
+        changed.append(len({edited[p.a : p.b] for p in split.split(edited, 955, 220, overlap, 700)} - cut))
+    changed.sort()
+    print(overlap, sum(changed) / len(changed), changed[60], changed[114], changed[-1])
+    assert sum(changed) / len(changed) < 3 and changed[114] <= 6
+
+
+def test_very_long_text_is_linear():
+    t = text_of(1, 40_000)
+    assert len(split.split(t, 955, 220, 1, 700)) > 2_000
+
+
 def test_limit_must_be_positive():
     with pytest.raises(ValueError):
         split.split("a", 0)

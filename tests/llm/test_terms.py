@@ -15,16 +15,19 @@ def test_terms_of_a_text():
     assert of(TEXTS[6]) == ["ab", "c", "١٢"]
 
 
-@pytest.mark.parametrize("heavy", [(), ("mil", "eau", "absent"), None])
+@pytest.mark.parametrize("heavy", [(), ("mil", "eau", "absent"), terms.heavy_terms(("mil", "Été", "été", "l'eau"))])
 def test_counts_equal_brute_force(spark, heavy):
     of = terms.Terms()
     rows = [(k, t) for k, t in enumerate(TEXTS * 7)]
     lists = [of(t) for _, t in rows if t is not None]
     occ, rec = Counter(w for x in lists for w in x), Counter(w for x in lists for w in set(x))
     df = spark.createDataFrame(rows, "i int, texte string").repartition(3)
-    got = {r.terme: (r.n_occ, r.n_chunks) for r in terms.count_terms(df, "texte", heavy=heavy, light_rows=2).collect()}
-    assert got.pop(None) == (0, len(lists))
-    assert got == {w: (occ[w], rec[w]) for w in occ}
+    parts = terms.count_parts(df, "texte", heavy=heavy, light_rows=2)
+    assert parts.where("terme is null").agg({"n_chunks": "sum"}).first()[0] == len(lists)
+    assert not {r.terme for r in parts.collect()} & set(heavy)
+    out = terms.merge_parts(parts, heavy).collect()
+    got = {r.terme: (r.n_occ, r.n_chunks) for r in out}
+    assert len(out) == len(got) and got == {w: (occ[w], rec[w]) for w in occ}
 
 
 def test_frequencies_count_a_delivery_once(spark):
@@ -34,6 +37,10 @@ def test_frequencies_count_a_delivery_once(spark):
     assert got["commun"] == (9, 9, "commun") and got["mot0"] == (1, 1, "rare")
 
 
+def test_heavy_terms_are_the_first_of_the_vocabulary():
+    assert terms.heavy_terms(("mil", "Été", "été", "l'eau"), 3) == ("mil", "ete", "l")
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "i bigint, texte string, charge_le timestamp")
-    assert terms.term_frequencies(df).count() == 0
+    assert terms.term_frequencies(df).count() == 0 and terms.term_frequencies(df, words=("mil",)).count() == 0
