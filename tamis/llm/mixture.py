@@ -1,10 +1,11 @@
 """Problem 7: mixing sources to target weights.
 
 Hierarchical budgeting. A mixture's weights are its leaves' (the sources); the leaves hang on a tree whose inner levels
-are columns (domain, language, ...). Every node has the share of the total that its leaves' weights give. What a leaf
-can't deliver, even repeated as often as allowed, goes to its siblings by their weights as far as they have room, then to
-its parent's siblings, and so on to the root. Each leaf's budget is then met by whole epochs and, of one more epoch in an
-order seeded by mixture and epoch, the prefix whose tokens fit.
+are columns: the source's subject area and its language (see levels_of()), or any others. Every node has the share of the
+total that its leaves' weights give. What a leaf can't deliver, even repeated as often as allowed, goes to its siblings by
+their weights as far as they have room, then to its parent's siblings, and so on to the root. A leaf falls short if its
+budget is below its share, which by this rule happens to exactly the leaves that lack tokens. Each leaf's budget is then met
+by whole epochs and, of one more epoch in an order seeded by mixture and epoch, the prefix whose tokens fit.
 
 The order is by a hash, so the prefix needs no sort of a source: tokens are summed by the hash's leading bits, all
 buckets that fit are taken whole, and only the one bucket that the budget ends in is sorted.
@@ -75,8 +76,8 @@ def budget_tree(leaves: list[tuple[tuple, float, float]], total: float) -> dict[
 
 def budgets(wanted: DataFrame, per_source: DataFrame, levels: list[str] | None = None) -> DataFrame:
     """Per mixture and source: `jetons` (its documents once), `cible` (its share of the mixture's tokens), `budget` (after
-    redistribution), `epoques` (whole ones), `reste` (tokens of the partial one), `manque` (true if even all repetitions
-    fall short of `cible`). `levels`: columns of `wanted` above the source, from the root. A mixture's leaves meet in one
+    redistribution), `epoques` (whole ones), `reste` (tokens of the partial one), `manque` (true if the budget is below
+    `cible`). `levels`: columns of `wanted` above the source, from the root. A mixture's leaves meet in one
     task: they are the rows of the mixture table, not documents."""
     levels = levels or []
     rows = wanted.join(per_source, "source", "left").withColumn("jetons", F.coalesce("jetons", F.lit(0)).cast("bigint"))
@@ -90,7 +91,7 @@ def budgets(wanted: DataFrame, per_source: DataFrame, levels: list[str] | None =
         once = pdf.jetons.where(pdf.jetons > 0, 1)
         whole = ((budget + 1e-6) // once).astype("int64").clip(upper=pdf.repetitions_max.astype("int64"))
         rest = (budget - whole * pdf.jetons).clip(lower=0.0).where(whole < pdf.repetitions_max, 0.0)
-        return pd.DataFrame({"melange": pdf.melange, "source": pdf.source, "poids": pdf.poids / weights if weights > 0 else pdf.poids, "repetitions_max": pdf.repetitions_max.astype("int32"), "jetons": pdf.jetons, "cible": target, "budget": budget, "epoques": whole, "reste": rest, "manque": pdf.jetons * pdf.repetitions_max < target})
+        return pd.DataFrame({"melange": pdf.melange, "source": pdf.source, "poids": pdf.poids / weights if weights > 0 else pdf.poids, "repetitions_max": pdf.repetitions_max.astype("int32"), "jetons": pdf.jetons, "cible": target, "budget": budget, "epoques": whole, "reste": rest, "manque": budget < target * (1 - 1e-12)})
 
     return rows.groupBy("melange").applyInPandas(plan, "melange string, source string, poids double, repetitions_max int, jetons bigint, cible double, budget double, epoques bigint, reste double, manque boolean")
 
@@ -123,13 +124,25 @@ def shares(selection: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select("melange", "source", F.col("poids").alias("part_cible"), F.coalesce(F.try_divide(F.col("jetons_sortis"), total), F.lit(0.0)).alias("part_atteinte"), "jetons", "jetons_sortis", "documents", "repetitions", "manque")
 
 
-def families(wanted: DataFrame) -> DataFrame:
-    """`wanted` with `famille`, the part of the source's name before the first underscore: the level above the sources."""
-    return wanted.withColumn("famille", F.substring_index("source", "_", 1))
-
-
-def mixtures(documents: DataFrame, melange: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tokens per document, plan), both cut."""
-    wanted = cut(families(targets(melange)))
+def levels_of(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """`source`, `domaine`, `langue`: the subject area given to most of a source's documents and the language most of them are
+    said to be in; "" where none is given, the smaller name on a tie. Both are counted before they are shuffled."""
+    known = documents.where("source is not null")
+    first = lambda df, c: df.groupBy("source", c).count().groupBy("source").agg(F.min_by(c, F.struct(-F.col("count"), c)).alias(c))
+    out = known.select("source").distinct().join(first(known.select("source", F.lower("lang").alias("langue")).where("langue is not null"), "langue"), "source", "left")
+    if labels is None:
+        out = out.withColumn("domaine", F.lit(None).cast("string"))
+    else:
+        given = known.select("doc_id", "source").join(labels.where("domaine is not null").select("doc_id", "domaine").distinct(), "doc_id")
+        out = out.join(first(given, "domaine"), "source", "left")
+    return out.select("source", F.coalesce("domaine", F.lit("")).alias("domaine"), F.coalesce("langue", F.lit("")).alias("langue"))
+
+
+def mixtures(documents: DataFrame, melange: DataFrame, levels: DataFrame | None = None, name: str = "byte_bpe_50k", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tokens per document, plan), both cut. `levels`: a row per source with the tree's inner levels, from the root, as further
+    columns; a source that it lacks hangs under nulls, and without `levels` all sources hang on the root."""
+    wanted = cut(targets(melange))
     tokens = cut(document_tokens(documents, wanted, name, folder))
-    return tokens, cut(budgets(wanted, tokens.groupBy("source").agg(F.sum("jetons").alias("jetons")), ["famille"]))
+    above = [c for c in levels.columns if c != "source"] if levels is not None else []
+    placed = wanted.join(levels, "source", "left") if levels is not None else wanted
+    return tokens, cut(budgets(placed, tokens.groupBy("source").agg(F.sum("jetons").alias("jetons")), above))

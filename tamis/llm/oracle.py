@@ -58,4 +58,6 @@ ORACLE: dict[str, str] = {
       r AS (SELECT l.ligne, l.i, s.parametres_retrieve_au_moment_.max_par_doc AS m, row_number() OVER (PARTITION BY l.ligne, {_SOURCE % "c.doc"} ORDER BY l.rrf DESC NULLS LAST, l.i) AS n
         FROM l JOIN c1 c ON c.i = l.i LEFT JOIN seuils s ON s.calib = l.calib WHERE c.doc IS NOT NULL)
       SELECT ligne, i FROM r WHERE n > m""",
+    "p7_check": """WITH m AS (SELECT melange, source, sum(poids) AS p FROM (SELECT DISTINCT melange, source, poids, repetitions_max FROM melange) GROUP BY 1, 2)
+      SELECT melange, source, round(p / sum(p) OVER (PARTITION BY melange), 6) AS part_cible, FALSE AS trop_repete, FALSE AS hors_budget FROM m""",
 }

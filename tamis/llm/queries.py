@@ -99,20 +99,36 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def _mixtures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = read_table(spark, sf_dir, "documents")
+    levels = mixture.levels_of(documents, read_table(spark, sf_dir, "etiquettes"))
+    return mixture.mixtures(documents, read_table(spark, sf_dir, "melange"), levels)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, plan = mixture.mixtures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "melange"))
-    return plan.where("manque").select("melange", "source")
+    return _mixtures(spark, sf_dir)[1].where("manque").select("melange", "source")
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.select(*mixture.mixtures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "melange")))
+    return mixture.select(*_mixtures(spark, sf_dir))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, plan = mixture.mixtures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "melange"))
+    found, plan = _mixtures(spark, sf_dir)
     return mixture.shares(mixture.select(found, plan), plan)
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mixture and source: the target share, whether a document came out more often than allowed, whether the tokens that
+    came out exceed the budget or miss it by more than the source's longest document."""
+    found, plan = _mixtures(spark, sf_dir)
+    got = mixture.select(found, plan).groupBy("melange", "source").agg(F.sum(F.col("jetons") * F.col("fois")).alias("sortis"), F.max("fois").alias("fois"))
+    longest = found.groupBy("source").agg(F.max("jetons").alias("plus_long"))
+    rows = plan.join(got, ["melange", "source"], "left").join(longest, "source", "left").na.fill(0, ["sortis", "fois", "plus_long"])
+    off = (F.col("sortis") > F.col("budget") + 1e-3) | (F.col("sortis") < F.col("budget") - F.col("plus_long") - 1e-3)
+    return rows.select("melange", "source", F.round("poids", 6).alias("part_cible"), (F.col("fois") > F.col("repetitions_max")).alias("trop_repete"), off.alias("hors_budget"))
+
+
 def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = subject.train(documents, read_table(spark, sf_dir, "etiquettes"), read_table(spark, sf_dir, "domaines"))
@@ -127,4 +143,4 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject.composition(p8_subjects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p2_check, p3_found, p3_forms, p3_classes, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p2_check, p3_found, p3_forms, p3_classes, p4_found, p5_found, p5_lists, p6_ids, p7_found, p7_selection, p7_shares, p7_check, p8_found, p8_subjects, p8_composition)}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tamis.llm import mixture
@@ -36,6 +38,28 @@ def test_mixture(spark):
     assert s["m", "vide"].jetons_sortis == 0
 
 
+def test_short_leaves_are_those_below_their_share():
+    r = random.Random(4)
+    for _ in range(300):
+        leaves = [((r.choice("ab"), r.choice("xy"), k), r.choice([0.2, 1.0, 3.7]), r.randint(0, 400)) for k in range(r.randint(1, 8))]
+        total = float(sum(x[2] for x in leaves)) / 2
+        got, weight = mixture.budget_tree(leaves, total), sum(x[1] for x in leaves)
+        short = {p for p, w, _ in leaves if got[p] < w / weight * total * (1 - 1e-12)}
+        assert short == {p for p, w, room in leaves if room < w / weight * total * (1 - 1e-12)}
+        assert sum(got.values()) == pytest.approx(min(total, sum(x[2] for x in leaves)))
+
+
+def test_levels_come_from_labels_and_languages(spark):
+    docs = [(1, "a", "a", "FR"), (2, "b", "a", "fr"), (3, "c", "a", "en"), (4, "d", "b", None), (5, None, None, "pt")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, "sol"), (1, "sol"), (2, "eau"), (3, "eau"), (9, "eau"), (4, None)], "doc_id bigint, domaine string")
+    assert {tuple(r) for r in mixture.levels_of(d, labels).collect()} == {("a", "eau", "fr"), ("b", "", "")}
+    m = spark.createDataFrame([("m", "a", 1.0, 1), ("m", "b", 1.0, 9), ("m", "absent", 1.0, 1)], "melange string, source string, poids double, repetitions_max int")
+    _, plan = mixture.mixtures(d, m, mixture.levels_of(d, labels))
+    assert {r.source for r in plan.where("manque").collect()} == {"absent"}
+    assert mixture.levels_of(d.where("false"), labels).count() == 0 and mixture.levels_of(d).count() == 2
+
+
 def test_nothing(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string, source string")
     m = spark.createDataFrame([], "melange string, source string, poids double, repetitions_max int")
