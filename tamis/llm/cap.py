@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators.delivery import first_delivery
+from tamis.operators.fusion import doc_key
 from tamis.session import cut, small
 
 
@@ -104,15 +105,10 @@ def cap_contributors(df: DataFrame, by: list[str], best_first: list[Column], mos
     if most is not None:
         over = over | F.coalesce(F.col("rang_source") >= (F.col(most) if isinstance(most, str) else F.lit(most)), F.lit(False))
     if share is not None:
-        over = over | (F.col("rang_source") >= F.lit(int(share * df.count())))
+        over = over | (F.col("rang_source") >= F.lit(int(share * ranked.count())))
     return ranked.withColumn("retire", over & ~F.col(out)).drop(out, "rang_source")
 
 
-def source_key(doc: Column) -> Column:
-    """One spelling for the ways a source's id is written: case, blanks around, hyphens and a file's ending set aside."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(doc, r"(?U)^\s+|\s+$", "")), "-", "_"), r"\.(pdf|txt)$", "")
-
-
 def cap_candidates(candidats: DataFrame, chunks: DataFrame, sources: DataFrame, seuils: DataFrame) -> DataFrame:
     """Each question's list with `source` (the registry's id) and `retire`, by the cap of the list's calibration.
 
@@ -121,8 +117,8 @@ def cap_candidates(candidats: DataFrame, chunks: DataFrame, sources: DataFrame,
     calibration, or none with a number) nothing is removed. A null or NaN `rrf` is worst; ties go to the smaller `i`.
     """
     lists = first_delivery(candidats.select("ligne", "calib", "i", "rrf", "calcule_le"), ["ligne", "i"], "calcule_le")
-    docs = first_delivery(chunks.select("i", "charge_le", source_key(F.col("doc")).alias("cle_source")), ["i"], "charge_le").select("i", "cle_source")
-    ids = small(cut(sources.where("id is not null").groupBy(source_key(F.col("id")).alias("cle_source")).agg(F.min("id").alias("id"))))
+    docs = first_delivery(chunks.select("i", "charge_le", doc_key(F.col("doc")).alias("cle_source")), ["i"], "charge_le").select("i", "cle_source")
+    ids = small(cut(sources.where("id is not null").groupBy(doc_key(F.col("id")).alias("cle_source")).agg(F.min("id").alias("id"))))
     caps = small(cut(seuils.where("calib is not null").groupBy("calib").agg(F.max_by("parametres_retrieve_au_moment_.max_par_doc", F.coalesce("calibre_le", F.lit("1970-01-01").cast("timestamp"))).alias("plafond"))))
     rows = lists.join(docs, "i", "left").join(ids, "cle_source", "left").join(caps, "calib", "left")
     rows = rows.select("ligne", "i", F.nanvl("rrf", F.lit(None).cast("double")).alias("rrf"), F.coalesce("id", "cle_source").alias("source"), "plafond")

@@ -94,16 +94,19 @@ def telling(sym: np.ndarray) -> np.ndarray:
     return keep
 
 
-def hide_quotes(cp: np.ndarray, kind: np.ndarray, sym: np.ndarray, longest: int = 150) -> None:
-    """Blanks out what stands in quotation marks within a line: a title says nothing of the sentence around it."""
+def hide_quotes(cp: np.ndarray, kind: np.ndarray, sym: np.ndarray) -> None:
+    """Blanks out what stands in quotation marks within a line and holds no end of a sentence: a title says nothing of the
+    sentence around it."""
     opens, shuts = (np.flatnonzero((cp == ord(a)) | (cp == ord(b))) for a, b in ("«“", "»”"))
     if not len(opens) or not len(shuts):
         return
     nxt = np.searchsorted(shuts, opens)
     opens, nxt = opens[nxt < len(shuts)], nxt[nxt < len(shuts)]
-    lines = np.cumsum(kind == 3)
+    cuts = kind == 3
+    cuts[:-1] |= (kind[:-1] == 1) & (kind[1:] >= 2)
+    cuts = np.cumsum(cuts)
     for a, b in zip(opens, shuts[nxt]):
-        if b - a <= longest and lines[a] == lines[b] and a and kind[a - 1] >= 2:
+        if cuts[a] == cuts[b - 1] and a and kind[a - 1] >= 2:
             sym[a : b + 1] = BLANK
 
 

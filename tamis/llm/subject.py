@@ -4,8 +4,8 @@ One-versus-rest linear classifiers on hashed word n-grams (one and two words) of
 areas given by hand to some documents; they name a document, not its sentences, and some are wrong or missing. Expectation-
 maximisation over the labelled documents' sentences therefore first finds which sentences speak of the areas and which of
 none: each is of one area or of the background, the document's labels being its prior only. The classifiers are trained
-on that, and each area's threshold is calibrated on labelled documents that they didn't see. A document treats an area if
-at least one in six of its sentences does.
+on that, and each area's threshold is calibrated on labelled documents that neither stage saw. A document treats an area if
+at least one in six of its sentences does. Only labelled documents enter the fit; all documents are classified, whole.
 """
 
 from __future__ import annotations
@@ -46,11 +46,15 @@ class Model(NamedTuple):
     weight: np.ndarray
     bias: np.ndarray
     threshold: np.ndarray
+    #: Share of the labels that were kept back which the thresholds find, and of what they find there that was given as a label
+    #: (labels are missing for some areas that a document treats); not a number if there were none.
+    recall: float = float("nan")
+    precision: float = float("nan")
 
 
 def body(text: str) -> str:
     """`text` without the header lines before its `=== TEXTE ===` line, if it has one."""
-    at = text.find("=== TEXTE ===", 0, 4_000)
+    at = text.find("=== TEXTE ===")
     return text if at < 0 else text[at + 13 :]
 
 
@@ -110,6 +114,12 @@ def many_sentences(texts: list[str], portion: int = 500) -> Sentences:
     return Sentences(np.concatenate([x.feature for x in found]).astype(np.int32), np.concatenate([x.start + a for x, a in zip(found, at)]), np.concatenate([x.of + k * portion for k, x in enumerate(found)]))
 
 
+def _of(s: Sentences, docs: np.ndarray) -> Sentences:
+    """The sentences of the documents marked in `docs`, which are numbered anew."""
+    mine, size = docs[s.of], np.diff(np.append(s.start, len(s.feature)))
+    return Sentences(s.feature[np.repeat(mine, size)], np.concatenate(([0], np.cumsum(size[mine])))[:-1].astype(np.int64), (np.cumsum(docs) - 1)[s.of[mine]])
+
+
 _LOWER: list[np.ndarray] = []
 
 
@@ -164,48 +174,47 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _learn(s: Sentences, target: np.ndarray, use: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams, their weights, bias, probabilities of all sentences), learnt from the sentences in `use`."""
-    k = target.shape[1]
+def _learn(s: Sentences, given: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the n-grams, bias), learnt from the sentences of documents with the labels `given`."""
+    k = given.shape[1]
+    target = attribute(s, given)[:, :k].astype(np.float32)
     bias = np.full(k, -3.0, np.float32)
     used, small = np.unique(s.feature, return_inverse=True)
     spread = s.spread()
     w, m, v = (np.zeros((len(used), k), np.float32) for _ in range(3))
-    n = max(1, int(use.sum()))
+    n = max(1, len(s.of))
     for t in range(1, rounds + 1):
         z = _by_sentence(w, small, s.start) + bias
-        err = (_sigmoid(z) - target) * use[:, None]
+        err = _sigmoid(z) - target
         grad = (_by_feature(err, small, spread, len(used)) / n + l2 * w).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         bias -= np.float32(0.5) * err.sum(0) / n
-    return used, w, bias.astype(np.float32), _sigmoid(_by_sentence(w, small, s.start) + bias)
+    weight = np.zeros((1 << BITS, k), np.float32)
+    weight[used] = w
+    return weight, bias.astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[list[str]], areas: tuple[str, ...], rounds: int = 30, l2: float = 1e-6) -> Model:
-    """A model from documents, some with labels. The thresholds are calibrated on the labels of every fifth labelled document
-    by a model that saw neither them nor the document's sentences (on all if they are few); the model itself is then learnt
-    from all."""
+    """A model from labelled documents. The thresholds are calibrated on every fifth document by a model of the others (on all,
+    if there are fewer than 50 documents); the model itself is then learnt from all."""
     s = many_sentences(texts)
     given = np.array([[a in x for a in areas] for x in labels], np.float64).reshape(len(labels), len(areas))
     k = len(areas)
-    weight = np.zeros((1 << BITS, k), np.float32)
     if not len(s.start):
-        return Model(areas, weight, np.full(k, -3.0, np.float32), np.full(k, 0.5))
-    learn = lambda labelled, use: _learn(s, attribute(s, labelled)[:, :k].astype(np.float32), use, rounds, l2)
-    labelled = given.any(1)
-    back = labelled & (np.cumsum(labelled) % 5 == 0) if len(texts) >= 50 else np.zeros(len(texts), bool)
-    threshold = None
-    if back.any():
-        p = learn(np.where(back[:, None], 0, given), ~back[s.of])[3]
-        threshold = calibrate(p, s.of, given, back)
-    used, w, bias, p = learn(given, np.ones(len(s.of), bool))
-    weight[used] = w
-    return Model(areas, weight, bias, calibrate(p, s.of, given, labelled) if threshold is None else threshold)
+        return Model(areas, np.zeros((1 << BITS, k), np.float32), np.full(k, -3.0, np.float32), np.full(k, 0.5))
+    back = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    chance = lambda w, b, x: _sigmoid(_by_sentence(w, x.feature, x.start) + b)
+    weight, bias = _learn(s, given, rounds, l2)
+    held = _of(s, back)
+    if not len(held.start):
+        return Model(areas, weight, bias, calibrate(chance(weight, bias, s), s.of, given)[0])
+    return Model(areas, weight, bias, *calibrate(chance(*_learn(_of(s, ~back), given[~back], rounds, l2), held), held.of, given[back]))
 
 
-def calibrate(p: np.ndarray, of: np.ndarray, given: np.ndarray, check: np.ndarray, few: int = 20) -> np.ndarray:
-    """Each area's threshold of the sentences' probabilities `p`, by the labels `given` to the documents marked in `check`.
+def calibrate(p: np.ndarray, of: np.ndarray, given: np.ndarray, few: int = 20) -> tuple[np.ndarray, float, float]:
+    """Each area's threshold of the sentences' probabilities `p`, by the labels `given` to the documents, and the recall and
+    precision of all labels by these thresholds.
 
     As labels are missing for some areas that a document treats, the measure is recall of the given ones, squared, over
     the documents found; areas with fewer than `few` labels lean on all areas' measure in proportion."""
@@ -214,14 +223,16 @@ def calibrate(p: np.ndarray, of: np.ndarray, given: np.ndarray, check: np.ndarra
     hit, found = np.zeros((25, p.shape[1])), np.zeros((25, p.shape[1]))
     for g, t in enumerate(grid):
         treats = np.stack([np.bincount(of, weights=p[:, c] >= t, minlength=len(given)) for c in range(p.shape[1])], 1) / n >= SHARE - 1e-9
-        hit[g], found[g] = (treats & (given > 0))[check].sum(0), treats[check].sum(0)
-    labels = given[check].sum(0)
+        hit[g], found[g] = (treats & (given > 0)).sum(0), treats.sum(0)
+    labels = given.sum(0)
     measure = lambda h, f, m: (h / np.maximum(1, m)) ** 2 / np.maximum(1, f) * np.maximum(1, m)
     own, all_areas = measure(hit, found, labels), measure(hit.sum(1), found.sum(1), labels.sum())
     trust = np.minimum(1, labels / few)
     score = trust * own + (1 - trust) * all_areas[:, None]
     best = [np.flatnonzero(score[:, c] >= score[:, c].max() - 1e-9) for c in range(p.shape[1])]
-    return np.array([grid[b[len(b) // 2]] for b in best])
+    mid = [b[len(b) // 2] for b in best]
+    hits, all_found = (float(x[mid, range(len(mid))].sum()) for x in (hit, found))
+    return grid[mid], hits / labels.sum() if labels.sum() else float("nan"), hits / all_found if all_found else float("nan")
 
 
 def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -237,17 +248,14 @@ def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     return hits.astype(np.int64), np.bincount(s.of, minlength=len(texts)).astype(np.int64)
 
 
-def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample_docs: int = 2_500, sample_others: int = 3_500, seed: int = 7) -> Model:
-    """A model from at most `sample_docs` labelled documents, those of the smallest hash, and about `sample_others` others.
-    Labels of unknown areas are left out; of labels that contradict each other all count."""
+def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample_docs: int = 5_000) -> Model:
+    """A model from at most `sample_docs` labelled documents, those of the smallest hash. Labels of unknown areas are left out;
+    of labels that contradict each other all count."""
     names = tuple(r.domaine for r in areas.select("domaine").where("domaine is not null").distinct().orderBy("domaine").collect())
     known = labels.where(F.col("domaine").isin(*names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("domaine")).alias("l"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    texts = documents.select("doc_id", "text").where("text is not null")
-    given = texts.join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id")
-    others = texts.sample(False, min(1.0, sample_others / max(1, documents.count())), seed).limit(2 * sample_others).toPandas().sort_values("doc_id")
-    others = others[~others.doc_id.isin(set(given.doc_id))]
-    return fit([*given.text, *others.text], [*given.l.map(list), *[[]] * len(others)], names)
+    given = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id")
+    return fit(given.text.tolist(), given.l.map(list).tolist(), names)
 
 
 def subjects(documents: DataFrame, model: Model, keep: list[str], text: str = "text", share: float = SHARE, chars: int = 1_000_000) -> DataFrame:

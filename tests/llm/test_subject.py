@@ -70,7 +70,27 @@ def test_thresholds_follow_held_back_labels():
     given = np.array([[1.0]] * 30 + [[0.0]] * 30)
     p = np.full((360, 1), 0.1)
     p[::6, 0] = np.where(given[:, 0] > 0, 0.7, 0.4)
-    (t,) = subject.calibrate(p, np.repeat(np.arange(60), 6), given, np.ones(60, bool))
-    assert 0.4 < t <= 0.7
-    only = np.arange(60) < 30
-    assert subject.calibrate(p, np.repeat(np.arange(60), 6), given, only)[0] <= 0.7
+    (t,), recall, precision = subject.calibrate(p, np.repeat(np.arange(60), 6), given)
+    assert 0.4 < t <= 0.7 and recall == precision == 1
+    (t,), recall, precision = subject.calibrate(p[:180], np.repeat(np.arange(30), 6), given[:30])
+    assert t <= 0.7 and recall == precision == 1
+
+
+def test_thresholds_come_from_documents_that_no_stage_saw():
+    docs, truth = corpus(150, 4)
+    labels = [[t[0]] for t in truth]
+    seen = []
+    old = subject.attribute
+    subject.attribute = lambda s, g: seen.append(len(g)) or old(s, g)
+    try:
+        model = subject.fit(docs, labels, tuple(sorted(WORDS)))
+    finally:
+        subject.attribute = old
+    assert sorted(seen) == [120, 150] and model.recall > 0.9 and 0.5 < model.precision <= 1
+    part = subject._of(subject.many_sentences(docs), np.arange(150) % 5 == 4)
+    own = subject.many_sentences(docs[4::5])
+    assert all((a == b).all() for a, b in zip(part, own))
+
+
+def test_header_mark_anywhere():
+    assert subject.body("a: b\n" * 5_000 + "=== TEXTE ===\nCorps.") == "\nCorps."
