@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +27,9 @@ def values(kind: str, text: Column, pack: RulePack = DEFAULT_PACK) -> Column:
     """All matches of a type's patterns, white space normalised; none if the type is conjunctive and no target is named."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(_I + p), F.lit(0)) for p in pack.patterns[kind]]))
     found = F.transform(found, tx.norm)
-    if kind in pack.conjunctive:
-        found = F.when(text.rlike(_I + pack.conjunctive[kind]), found).otherwise(F.array().cast("array<string>"))
+    need = [text.rlike(c) for c in (pack.needs.get(kind), _I + pack.conjunctive[kind] if kind in pack.conjunctive else None) if c]
+    for c in need:
+        found = F.when(c, found).otherwise(F.array().cast("array<string>"))
     return found
 
 
@@ -107,44 +106,54 @@ def stage(cfg: PolicyConfig = PolicyConfig()) -> Column:
     return F.when(c == "variete", dyn).when(c.isNotNull(), known)
 
 
-def spans(patterns: list[tuple[str, str]], text: str) -> list[tuple[int, int]]:
-    """All (start, end) of the patterns, each with "raw" or "folded" text."""
-    plain = "".join(d[0].lower() if len(d := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 else c.lower() for c in text)
-    return sorted({m.span() for how, p in patterns for m in re.finditer(p, plain if how == "folded" else text, re.I)})
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def distance(a: tuple[int, int], b: tuple[int, int]) -> int:
-    """Characters between two spans, 0 if they overlap or touch."""
-    return max(0, b[0] - a[1], a[0] - b[1])
+def spans(text: Column, pattern: Column) -> Column:
+    """All matches of a pattern as structs (a, b) from 0: what stands between matches and the matches themselves take turns, so
+    each match starts where the lengths of all before it end."""
+    between, found = F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a: int, b: int>>").alias("all"))
 
+    def step(s: Column, x: Column) -> Column:
+        a = s.at + x["0"]
+        return F.struct((a + x["1"]).alias("at"), F.array_append(s.all, F.struct(a.alias("a"), (a + x["1"]).alias("b"))).alias("all"))
 
-def arbitrate(kind: str, target: str, unit: str, pack: RulePack = DEFAULT_PACK) -> tuple[bool, bool, int | None, int | None]:
-    """(whether the rule applies, whether the value is the target's, distance of the target, of the nearest rival). It applies
-    if the unit names the target and another entity and has values; a tie goes to the target."""
-    u = " ".join(unit.split())
-    where = {}
-    for n, e in pack.entities.items():
-        found = spans([*([("raw", e["raw"])] if e.get("raw") else [("folded", _token_pattern(e["tokens"]))]), *([("raw", e["latin"])] if e.get("latin") else [])], u)
-        if found:
-            where[n] = found
-    vals = [] if kind in pack.conjunctive and not re.search(pack.conjunctive[kind], u, re.I) else spans([("raw", p) for p in pack.patterns[kind]], u)
-    if len(where) < 2 or not vals or target not in where:
-        return False, True, None, None
-    near = {n: min(distance(v, s) for v in vals for s in found) for n, found in where.items()}
-    rival = min(d for n, d in near.items() if n != target)
-    return True, near[target] <= rival, near[target], rival
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, y: F.struct(x.alias("0"), y.alias("1")))
+    return F.aggregate(pairs, state, step, lambda s: s["all"])
+
+
+def nearest(some: Column, others: Column) -> Column:
+    """The fewest characters between a span of `some` and one of `others`, 0 if they touch or overlap; null if either has none."""
+    return F.array_min(F.flatten(F.transform(some, lambda x: F.transform(others, lambda y: F.greatest(F.lit(0), y.a - x.b, x.a - y.b)))))
+
+
+def co_mention(kind: Column, target: Column, unit: Column, pack: RulePack = DEFAULT_PACK) -> Column:
+    """struct(declenche, accorde, d_cible, d_rivale) of a unit that may name several entities: how far from its values of the type
+    `kind` the target is named, and the nearest other entity. The rule applies where both distances are known, and speaks for
+    the target unless another is nearer. A null unit gives a rule that doesn't apply."""
+    u = tx.norm(unit)
+    folded = tx.fold_one_to_one(u)
+    by_kind = F.create_map(*[x for k, ps in pack.patterns.items() for x in (F.lit(k), F.array(*[F.lit(_I + p) for p in ps]))])
+    where = F.flatten(F.transform(F.element_at(by_kind, kind), lambda p: spans(u, p)))
+    for k, p in pack.conjunctive.items():
+        where = F.when((kind != k) | u.rlike(_I + p), where)
 
+    def own(e: dict) -> Column:
+        found = spans(u, F.lit(_I + e["raw"])) if e.get("raw") else spans(folded, F.lit(_token_pattern(e["tokens"])))
+        return F.concat(found, spans(u, F.lit(_I + e["latin"]))) if e.get("latin") else found
 
-def co_mention(pack: RulePack = DEFAULT_PACK):
-    """arbitrate() over columns (type, cible, unite) -> struct; null in, null out. For units that name several entities only."""
+    far = _let(where, lambda v: F.array(*[F.struct(F.lit(n).alias("n"), nearest(v, own(e)).alias("d")) for n, e in pack.entities.items()]))
+    pick = lambda far, mine: F.array_min(F.transform(F.filter(far, lambda x: (x.n == target) == F.lit(mine)), lambda x: x.d))
+    both = _let(far, lambda x: F.struct(pick(x, True).alias("c"), pick(x, False).alias("r")))
 
-    @F.pandas_udf("declenche boolean, accorde boolean, d_cible int, d_rivale int")
-    def run(kind: pd.Series, target: pd.Series, unit: pd.Series) -> pd.DataFrame:
-        rows = [arbitrate(k, t, u, pack) if u is not None and t in pack.entities else (False, True, None, None) for k, t, u in zip(kind, target, unit)]
-        out = pd.DataFrame(rows, columns=["declenche", "accorde", "d_cible", "d_rivale"])
-        return out.astype({"d_cible": "Int32", "d_rivale": "Int32"})
+    def verdict(d: Column) -> Column:
+        known = F.coalesce(unit.isNotNull() & d.c.isNotNull() & d.r.isNotNull(), F.lit(False))
+        return F.struct(known.alias("declenche"), (~known | (d.c <= d.r)).alias("accorde"), F.when(known, d.c).alias("d_cible"), F.when(known, d.r).alias("d_rivale"))
 
-    return run
+    return _let(both, verdict)
 
 
 def evidence(chunks: DataFrame, pack: RulePack = DEFAULT_PACK) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +169,7 @@ def _verified(rows: DataFrame, pack: RulePack, cfg: PolicyConfig) -> DataFrame:
     served = ~F.col("type").isin(*pack.conjunctive) | (F.size("cibles_q") == 0) | F.arrays_overlap("cibles_q", "u_cibles") if cfg.target_in_citation else F.lit(True)
     rows = rows.withColumn("etage", stage(cfg)).where(F.col("etage").isin("a1", "a2", "dyn") & served)
     several = (F.size("u_nomme") > 1) & (F.col("cible") != "variete")
-    rows = rows.withColumn("co", co_mention(pack)("type", "cible", F.when(several, F.col("unite")))).where(~several | F.col("co.accorde"))
+    rows = rows.withColumn("co", co_mention(F.col("type"), F.col("cible"), F.when(several, F.col("unite")), pack)).where(~several | F.col("co.accorde"))
     return rows.withColumn("c", tx.truncate(F.col("unite"), cfg.citation_max)).where(tx.is_verbatim(F.col("c.verbatim"), F.col("texte")))
 
 
@@ -174,11 +183,15 @@ def _citation(source: Column) -> Column:
 def level_one(wanted: DataFrame, kept: DataFrame, chunks: DataFrame, query: str, pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig(), known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """`query`, `ordre`, `citations`: for each demand with a target, the first units of the kept passages, by rank, that carry a
     value of its type and name its entity; then, if there are any, what a neighbour on the page completes them with.
-    `known`: evidence() of `chunks`, if it is there."""
+    `known`: evidence() of `chunks`, if it is there; else the evidence of the kept passages and their neighbours is looked for."""
     by = [query, "ordre"]
-    hits, facts = known or evidence(chunks, pack)
     near = same_page_neighbours(chunks)
     near = near.select("i", F.explode(F.array_compact(F.array("avant", "apres"))).alias("j"))
+    if known is None:
+        ids = kept.select("i").distinct()
+        near = cut(near.join(ids, "i", "left_semi"))
+        known = evidence(chunks.join(small(cut(ids.union(near.select("j")).distinct())), "i", "left_semi"), pack)
+    hits, facts = known
     asked = wanted.where("cible is not null")
     pairs = asked.join(kept.select(query, "i", "rang", "cos"), query).join(hits, ["i", "type"]).join(facts, "i")
     found = _verified(pairs, pack, cfg)
@@ -201,6 +214,15 @@ def level_one(wanted: DataFrame, kept: DataFrame, chunks: DataFrame, query: str,
     return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "citation"))), lambda x: x.citation).alias("citations"))
 
 
+def cited(questions: DataFrame, kept: DataFrame, decisions: DataFrame, chunks: DataFrame, query: str = "ligne", text: str = "requete", pack: RulePack = DEFAULT_PACK, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """`query`, `ordre`, `type`, `cible`, `citations` of the demands that analyse() finds documented; nothing else is looked at
+    but the kept passages and their neighbours."""
+    open_q = questions.join(decisions.where("not refus").select(query).distinct(), query, "left_semi")
+    wanted = cut(demands(open_q, query, text, pack))
+    found = level_one(wanted, kept.join(open_q.select(query), query, "left_semi"), chunks, query, pack, cfg)
+    return wanted.select(query, "ordre", "type", "cible").join(found, [query, "ordre"])
+
+
 SIGNATURE = ("type", "cible", "majuscules", "noms", "lieux_q", "cibles_q")
 
 

@@ -183,16 +183,22 @@ def answer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy_plan(spark, sf_dir).select("ligne", F.explode("demandes").alias("d")).select("ligne", "d.type", "d.cible", "d.niveau", F.explode("d.citations").alias("c")).select("ligne", "type", "cible", "niveau", "c.*")
+    found = policy.cited(*_asked(spark, sf_dir))
+    return found.select("ligne", "type", "cible", F.lit(1).alias("niveau"), F.explode("citations").alias("c")).select("ligne", "type", "cible", "niveau", "c.*")
 
 
-def policy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(questions, kept passages, decisions, passages), as the policy takes them."""
     chunks = _once(spark, sf_dir, "chunks", "doc", "page", "titre", "editeur", "annee", "langue", "licence", "regime", "citation_verbatim_autorisee", "texte")
     chunks = cut(chunks.withColumn("doc", fusion.doc_key(F.col("doc"))).drop("charge_le"))
     rows, selection = _stats(spark, sf_dir)
-    decisions = _decisions(spark, sf_dir, rows, selection)
-    kept = fusion.kept_rows(selection, "ligne").select("ligne", "i", "rang", "cos")
-    return policy.analyse(_once(spark, sf_dir, "qcm", "requete").select("ligne", "requete"), cut(kept), cut(decisions), chunks)
+    selection = cut(selection)
+    kept = cut(fusion.kept_rows(selection, "ligne").select("ligne", "i", "rang", "cos"))
+    return _once(spark, sf_dir, "qcm", "requete").select("ligne", "requete"), kept, cut(_decisions(spark, sf_dir, rows, selection)), chunks
+
+
+def policy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.analyse(*_asked(spark, sf_dir))
 
 
 def recall_at_8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,12 @@ def test_first_delivery(spark):
     assert first_delivery(df.where("false"), ["i"], "le").count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 1 << 20])
+@pytest.mark.parametrize("bits", [1, 1 << 27])
 def test_first_delivery_joins_no_list_of_keys(spark, bits):
     random.seed(3)
     rows = [(random.choice([None, *range(400)]), random.choice("ab"), f"{random.random()}", random.choice([None, 1, 2])) for _ in range(1000)]
     df = spark.createDataFrame(rows, "i bigint, __n string, texte string, le int").repartition(3)
-    out = first_delivery(df, ["i", "__n"], "le", most_bits=bits)
+    out = first_delivery(df, ["i", "__n"], "le", bits=bits)
     want = {}
     for r in rows:
         if r[0] is not None:
@@ -36,7 +36,7 @@ def test_first_delivery_joins_no_list_of_keys(spark, bits):
     assert all(r in want[k] and (r[3] is None or r[3] == min(x[3] for x in want[k] if x[3] is not None)) and (r[3] is not None or all(x[3] is None for x in want[k])) for k, r in got.items())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = first_delivery(df, ["i", "__n"], "le", most_bits=bits)._jdf.queryExecution().executedPlan().toString()
+        plan = first_delivery(df, ["i", "__n"], "le", bits=bits)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") >= 2

@@ -38,12 +38,42 @@ def test_demands(spark):
     assert got[1, "periode_semis"].cible == "mil" and got[2, "identite_variete"].cible == "variete" and got[2, "identite_variete"].noms == ["EL MARADI"]
 
 
-def test_arbitration():
+def arbitrated(spark, rows):
+    df = spark.createDataFrame(rows, "k string, c string, u string")
+    return [tuple(r.x) for r in df.select(policy.co_mention(F.col("k"), F.col("c"), F.col("u")).alias("x")).collect()]
+
+
+def test_arbitration(spark):
     t = "Après le premier sarclage du mil, le niébé est semé à 40 cm x 50 cm"
-    assert policy.arbitrate("densite_ecartement", "niebe", t)[:2] == (True, True)
-    assert policy.arbitrate("densite_ecartement", "mil", t)[:2] == (True, False)
-    assert policy.arbitrate("densite_ecartement", "mil", "mil à 4 cm x 5 cm") == (False, True, None, None)
-    assert policy.distance((0, 5), (3, 9)) == 0 and policy.distance((9, 10), (0, 4)) == 5
+    k = "densite_ecartement"
+    got = arbitrated(spark, [(k, "niebe", t), (k, "mil", t), (k, "mil", "mil à 4 cm x 5 cm"), (k, "mil", None), (k, "sorgho", t), (k, "mil", "le mil et le niébé"), ("mesure_lutte", "mil", "lutte contre les oiseaux : mil, niébé"), ("mesure_lutte", "mil", "lutte contre le striga : niébé, mil")])
+    assert [r[:2] for r in got] == [(True, True), (True, False), (False, True), (False, True), (False, True), (False, True), (False, True), (True, False)]
+    assert got[0][2] < got[0][3] and got[2][2:] == (None, None)
+    tie = arbitrated(spark, [(k, c, "mil 4 cm x 5 cm niébé") for c in ("mil", "niebe")])
+    assert [r[:2] for r in tie] == [(True, True), (True, True)] and tie[0][2] == tie[0][3]
+
+
+def test_spans_and_distance_equal_brute_force(spark):
+    texts = ["mil le mil, mil", "rien", "", "mil", "amil mil.", "sorgho mil sorgho", "mil  sorgho", None, "milmil"]
+    df = frame(spark, texts)
+    got = [tuple(r) for r in df.select(policy.spans(F.col("x"), F.lit("mil")).alias("a"), policy.spans(F.col("x"), F.lit(r"\bsorgho")).alias("b")).select("a", "b", policy.nearest(F.col("a"), F.col("b"))).collect()]
+    for t, (a, b, d) in zip(texts, got):
+        if t is None:
+            assert a is None
+            continue
+        x, y = ([m.span() for m in re.finditer(p, t)] for p in ("mil", r"\bsorgho"))
+        assert [tuple(s) for s in a] == x and [tuple(s) for s in b] == y
+        assert d == (min(max(0, q[0] - p[1], p[0] - q[1]) for p in x for q in y) if x and y else None)
+
+
+def test_needs_are_necessary(spark):
+    texts = ["à la mi-mai jusqu'à la mi-juin", "TROISIÈME DÉCADE", "Semer en AOÛT", "20 kg/ha", "semence : ٣ kg", "DÉNOMINATION : EL MARADI", "AUTRE DENOMINATION: X2", "cycle de 90 jours", "cumul de 20 mm", "seuil de 3 larves"]
+    from dataclasses import replace
+
+    free = replace(DEFAULT_PACK, needs={})
+    for k in DEFAULT_PACK.patterns:
+        for r in frame(spark, texts).select(policy.values(k, F.col("x")).alias("a"), policy.values(k, F.col("x"), free).alias("b")).collect():
+            assert r.a == r.b
 
 
 CHUNKS = [
