@@ -32,7 +32,9 @@ def rrf(rank_a: Column, rank_b: Column, penalty: Column, k: int = 60) -> Column:
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, query: str, key: str = "i", params: SearchParams = SearchParams()) -> DataFrame:
-    """Candidates of both ranked lists (`query`, `key`, `rang`, `score` / `cos`) with their fused score. Any two lists will do."""
+    """Candidates of both ranked lists (`query`, `key`, `rang`, `score` / `cos`), of each the first `k_pool`, with their fused
+    score. Any two lists will do."""
+    lexical, dense = lexical.where(F.col("rang") <= params.k_pool), dense.where(F.col("rang") <= params.k_pool)
     a = lexical.select(query, key, F.col("rang").alias("rang_bm25"), F.col("score").alias("score_bm25"))
     b = dense.select(query, key, F.col("rang").alias("rang_dense"), "cos")
     both = a.join(b, [query, key], "full_outer").join(chunks.select(key, "doc", "off", "structure"), key, "left")
@@ -46,9 +48,12 @@ def select(candidates: DataFrame, query: str, params: SearchParams = SearchParam
     A candidate is rejected if its offsets overlap those of one already kept in the same document, else if its document has
     already `max_per_doc` kept (or the number in the column `cap`; null: no cap); the selection stops at `k_final` kept,
     and what comes after isn't reported. Rejects have their `motif`. A candidate without document or offsets neither
-    overlaps nor is capped. The fold's state depends on what was kept, so a query's pool (two lists of k_pool at most)
-    is one array.
+    overlaps nor is capped. The fold's state depends on what was kept, so a query's pool is one array; candidates with ranks
+    count only up to rank `k_pool` of a list, so that it holds two lists of `k_pool` at most.
     """
+    if {"rang_bm25", "rang_dense"} <= set(candidates.columns):
+        near = [F.coalesce(F.col(c) <= params.k_pool, F.lit(False)) for c in ("rang_bm25", "rang_dense")]
+        candidates = candidates.where(near[0] | near[1] | (F.col("rang_bm25").isNull() & F.col("rang_dense").isNull()))
     c = candidates.select(
         query,
         F.struct((-F.coalesce("rrf", F.lit(-1.0))).alias("o"), "i", "doc", F.col("off.a").alias("a"), F.col("off.b").alias("b"), "rrf", "cos", (F.col(cap) if cap else F.lit(params.max_per_doc)).cast("int").alias("p")).alias("c"),

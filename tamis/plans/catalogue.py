@@ -10,9 +10,9 @@ from tamis.functions.rulepack import DEFAULT_PACK
 from tamis.operators import audit, dense, evaluate, fusion, gate, lexical, policy, segment
 from tamis.operators.delivery import first_delivery
 from tamis.plans.oracle import ORACLE, QUESTION  # noqa: F401
-from tamis.session import cut, read_table
+from tamis.session import cut, read_table, small
 
-FLAGSHIP = "hybrid_selected"
+FLAGSHIP = "hybrid_live"
 
 
 def _once(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -84,6 +84,29 @@ def hybrid_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.restrict(kept, _once(spark, sf_dir, "chunks", "regime"))
 
 
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused candidates from texts and vectors: BM25 over all passages, inner products over all passages that have a vector. The
+    tables hold no vectors of questions; that of number `ligne` stands for them."""
+    q = _once(spark, sf_dir, "qcm", "requete").where("ligne % 100 = 0").select("ligne", "requete")
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "embedding")
+    chunks = cut(_once(spark, sf_dir, "chunks", "doc", "off", "texte").select("i", fusion.doc_key(F.col("doc")).alias("doc"), "off", "texte"))
+    words = lexical.search(chunks, q, "i", "texte", "ligne", "requete")
+    near = dense.search(v, q.select("ligne").join(v.withColumnRenamed("i", "ligne"), "ligne"), "i", "embedding", "ligne", "embedding")
+    found = cut(words.select("ligne", "i", "rang", "score")), cut(near.select("ligne", "i", "rang", "cos"))
+    ids = small(cut(found[0].select("i").union(found[1].select("i")).distinct()))
+    places = chunks.join(ids, "i", "left_semi").select("i", "doc", "off", tx.structure(F.col("texte")).alias("structure"))
+    return cut(fusion.fuse(*found, places, "ligne"))
+
+
+def hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live(spark, sf_dir).select("ligne", "i", "rang_bm25", "rang_dense", "penalite", F.round("rrf", 6).alias("rrf"))
+
+
+def hybrid_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = fusion.kept_rows(fusion.select(_live(spark, sf_dir), "ligne"), "ligne")
+    return kept.select("ligne", "i", F.col("rang").cast("bigint").alias("rang"), "doc", F.round("rrf", 6).alias("rrf"))
+
+
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.id_check(read_table(spark, sf_dir, "chunks"))
 
@@ -256,7 +279,7 @@ def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pack(segment.page_segments(read_table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id", "page"], "texte", "a")
 
 
-_ALL = (perimeter_counts, scope_check, chunk_ids, hybrid_committed, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, dense_topk, dense_margins, hybrid_rrf, hybrid_selected, hybrid_rejected, gate_stats, gate_decisions, idf_coverage, structure_tags, structure_histogram, citation_units, citations_truncated, same_page_neighbours, interval_coverage, chunk_sizes, provenance_mismatches, offset_check, shared_edges, sources_without_chunks, value_pattern_hits, demand_routing, entities_in_questions, answer_reports, answer_citations, recall_at_8, gate_auc, threshold_sweep, expected_levels, int8_error, norm_check, cache_misses, run_dispersion, page_segments, document_headers, packed_chunks)
+_ALL = (perimeter_counts, scope_check, chunk_ids, hybrid_committed, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, dense_topk, dense_margins, hybrid_rrf, hybrid_fused, hybrid_live, hybrid_selected, hybrid_rejected, gate_stats, gate_decisions, idf_coverage, structure_tags, structure_histogram, citation_units, citations_truncated, same_page_neighbours, interval_coverage, chunk_sizes, provenance_mismatches, offset_check, shared_edges, sources_without_chunks, value_pattern_hits, demand_routing, entities_in_questions, answer_reports, answer_citations, recall_at_8, gate_auc, threshold_sweep, expected_levels, int8_error, norm_check, cache_misses, run_dispersion, page_segments, document_headers, packed_chunks)
 
 
 QUERIES = {f.__name__: f for f in _ALL}

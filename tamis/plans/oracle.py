@@ -94,6 +94,29 @@ PAGES = rf"""p AS (SELECT doc_id, regexp_split_to_array(text, '(?m)^\[\[page \d+
   y AS (SELECT doc_id, CAST(regexp_extract(m[k], '\d+') AS INTEGER) AS page, p[k + 1] AS raw, list_sum(list_transform(p[1:k], lambda v: length(v))) + list_sum(list_transform(m[1:k], lambda v: length(v))) AS s FROM x),
   z AS (SELECT doc_id, page, s + length(raw) - length(regexp_replace(raw, '^{WS}+', '')) AS a, {strip('raw')} AS texte FROM y)"""
 
+def greedy(pool: str) -> str:
+    """CTEs st, fin: the greedy selection over `pool` (ligne, r, i, doc, a, b, rrf, p)."""
+    hit = "list_filter(st.kept, lambda x: coalesce(x.doc = p.doc AND p.a < x.b AND x.a < p.b, false))"
+    return f"""st AS (SELECT ligne, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(i BIGINT, doc VARCHAR, a BIGINT, b BIGINT, rrf DOUBLE)[]) AS kept FROM (SELECT DISTINCT ligne FROM {pool})
+    UNION ALL
+    SELECT st.ligne, p.r, CASE WHEN len(st.kept) >= 8 OR len({hit}) > 0 OR coalesce(p.doc IS NOT NULL AND len(list_filter(st.kept, lambda x: coalesce(x.doc = p.doc, false))) >= p.p, false) THEN st.kept
+      ELSE list_append(st.kept, {{'i': p.i, 'doc': p.doc, 'a': p.a, 'b': p.b, 'rrf': p.rrf}}) END FROM st JOIN {pool} p ON p.ligne = st.ligne AND p.r = st.r + 1),
+  fin AS (SELECT ligne, kept FROM st QUALIFY row_number() OVER (PARTITION BY ligne ORDER BY r DESC) = 1)"""
+
+
+STRUCTURE = f"""CASE WHEN texte IS NULL THEN NULL WHEN len(regexp_extract_all(texte, {lit(tx.DOT_LEADERS)})) >= 3 THEN 'sommaire'
+        WHEN len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_matches(x, {lit(tx.REFERENCE_LINE)}) OR (length(x) < 130 AND (regexp_matches(x, {lit(tx.REFERENCE_SIGN)}) OR regexp_matches(x, {lit(tx.REFERENCE_YEAR)}))))) >= 0.5 * len(ls) THEN 'bibliographie'
+        WHEN regexp_matches(texte, {lit(tx.KEYWORDS)}) THEN 'mots_cles' ELSE '' END"""
+
+#: Both lists of the questions divisible by 100, fused.
+LIVE = f"""WITH RECURSIVE {CHUNKS}, {QCM}, b AS ({bm25("SELECT ligne, requete FROM qcm_1 WHERE ligne % 100 = 0")}),
+  vs AS (SELECT q.vec_id AS ligne, v.vec_id AS i, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id IN (SELECT ligne FROM qcm_1 WHERE ligne % 100 = 0)),
+  d AS (SELECT ligne, i, cos, row_number() OVER (PARTITION BY ligne ORDER BY cos DESC, i) AS rang FROM vs QUALIFY rang <= 60),
+  l AS (SELECT i, {doc_key('doc')} AS doc, off, texte, list_filter(string_split(texte, chr(10)), lambda x: {strip('x')} <> '') AS ls FROM chunks_1),
+  k AS (SELECT i, doc, off, {STRUCTURE} AS structure FROM l),
+  f AS (SELECT ligne, i, b.rang AS rang_bm25, CAST(d.rang AS INTEGER) AS rang_dense, k.doc, k.off.a AS a, k.off.b AS b, CASE WHEN k.structure IN ('bibliographie', 'sommaire', 'mots_cles') THEN 5 ELSE 0 END AS penalite FROM b FULL JOIN d USING (ligne, i) LEFT JOIN k USING (i)),
+  g AS (SELECT *, coalesce(1.0 / (60 + rang_bm25 + penalite), 0) + coalesce(1.0 / (60 + rang_dense + penalite), 0) AS rrf, 3 AS p FROM f)"""
+
 SHARED = ("titre", "editeur", "annee", "licence", "regime", "sujet", "portee", "utilite_conseil")
 
 ORACLE: dict[str, str] = {
@@ -107,6 +130,8 @@ ORACLE: dict[str, str] = {
     "dense_margins": """WITH q AS (SELECT embedding AS e, label AS l FROM embeddings WHERE vec_id = 0), c AS (SELECT label = l AS r, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS cos FROM embeddings, q WHERE vec_id <> 0)
       SELECT round(max(cos) FILTER (r) - max(cos) FILTER (NOT r), 6) AS marge, round(median(cos) FILTER (r) - median(cos) FILTER (NOT r), 6) AS marge_medianes, count(*) FILTER (cos > (SELECT max(cos) FROM c WHERE r)) + 1 AS rang_premier FROM c""",
     "hybrid_rrf": f"WITH {CAND} SELECT ligne, i, CASE WHEN rang_bm25 IS NOT NULL OR rang_dense IS NOT NULL THEN round(coalesce(1.0 / (60 + rang_bm25 + coalesce(penalite, 0)), 0) + coalesce(1.0 / (60 + rang_dense + coalesce(penalite, 0)), 0), 6) END AS rrf_recalcule FROM cand_1",
+    "hybrid_fused": LIVE + " SELECT ligne, i, rang_bm25, rang_dense, penalite, round(rrf, 6) AS rrf FROM g",
+    "hybrid_live": LIVE + f", pool AS (SELECT *, row_number() OVER (PARTITION BY ligne ORDER BY rrf DESC, i) AS r FROM g), {greedy('pool')} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].doc AS doc, round(kept[k].rrf, 6) AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
     "hybrid_selected": f"WITH RECURSIVE {POOL} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].rrf AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
     "hybrid_committed": f"WITH RECURSIVE {POOL}, k AS (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS rang FROM fin) SELECT ligne, kept[rang].i AS i, rang FROM k WHERE kept[rang].i IN (SELECT i FROM chunks_1 WHERE regime = 'committed')",
     "chunk_ids": "SELECT count(*) AS n, count(DISTINCT i) AS cles, min(i) AS mini, max(i) AS maxi, coalesce(min(i) = 0 AND max(i) = count(DISTINCT i) - 1, true) AS dense FROM chunks",
