@@ -9,6 +9,7 @@ from tamis.functions.text import norm
 from tamis.functions.vectors import dot, from_int8, to_int8
 from tamis.functions.vectors import norm as length_of
 from tamis.operators.fusion import doc_key
+from tamis.session import cut
 
 
 def perimeter(sources: DataFrame) -> DataFrame:
@@ -23,6 +24,19 @@ def perimeter_counts(sources: DataFrame) -> DataFrame:
     return perimeter(sources).groupBy("etat").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
 
 
+def perimeter_overlap(sources: DataFrame) -> DataFrame:
+    """`etat`, `n`, of the sources in each of the perimeter's overlapping sets: `sources` all, `methodologique`, `exclu`, `indexe`
+    neither. A source that is methodological and excluded counts in both; one given again counts once."""
+    ids = sources.where("id is not null").groupBy("id").agg(F.max(F.coalesce(F.trim("exclusion") != "", F.lit(False))).alias("x"), F.max(F.coalesce(F.col("utilite_conseil") == "methodologique", F.lit(False))).alias("m"))
+    sets = F.array_compact(F.array(F.lit("sources"), F.when(F.col("m"), "methodologique"), F.when(F.col("x"), "exclu"), F.when(~F.col("x") & ~F.col("m"), "indexe")))
+    return ids.select(F.explode(sets).alias("etat")).groupBy("etat").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exclusions(sources: DataFrame) -> DataFrame:
+    """`entree`: `id:exclusion` of each excluded source, once; the reason without blanks around it."""
+    return sources.where("id is not null and trim(exclusion) <> ''").select(F.concat("id", F.lit(":"), F.trim("exclusion")).alias("entree")).distinct()
+
+
 def lock(sources: DataFrame, expected: dict[str, int]) -> None:
     """Raises if the perimeter's counts (`etat` -> n) aren't the expected ones."""
     found = {r.etat: r.n for r in perimeter(sources).groupBy("etat").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -75,7 +89,7 @@ def below_minimum(chunks: DataFrame, least: int = 220) -> DataFrame:
 def provenance_mismatches(chunks: DataFrame, sources: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """`champ`, `differences`: passages whose field isn't the registry's (null as ""), by resolved source; `champ` = `source`
     counts those without one."""
-    reg = sources.where("id is not null").groupBy(doc_key(F.col("id")).alias("__k")).agg(F.first(F.struct(*fields), True).alias("r"), F.lit(True).alias("ok"))
+    reg = sources.where("id is not null").groupBy(doc_key(F.col("id")).alias("__k")).agg(F.min(F.struct(*fields)).alias("r"), F.lit(True).alias("ok"))
     both = chunks.withColumn("__k", doc_key(F.col("doc"))).join(reg, "__k", "left")
     bad = [F.count_if(F.col("ok") & (F.coalesce(F.col(f), F.lit("")) != F.coalesce(F.col(f"r.{f}"), F.lit("")))).alias(f) for f in fields]
     one = both.agg(*bad, F.count_if(F.col("ok").isNull()).alias("source"))
@@ -83,22 +97,26 @@ def provenance_mismatches(chunks: DataFrame, sources: DataFrame, fields: tuple[s
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("champ", "differences"))
 
 
-def _union(rows: DataFrame, by: list[str]) -> DataFrame:
-    """`by`..., `a`, `b`: the union of each group's intervals, touching ones joined."""
-    w = Window.partitionBy(*by).orderBy("a", "b")
-    marked = rows.withColumn("haut", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("neuf", (F.col("haut").isNull() | (F.col("a") > F.col("haut"))).cast("int"))
-    return marked.withColumn("ile", F.sum("neuf").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "ile").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("ile")
-
-
 def interval_coverage(rows: DataFrame, group: str, a: str, b: str, stretch: int = 100_000) -> DataFrame:
     """Per group: the length covered by the union of [a, b), touching intervals joined, the islands, the whole span and the
     share of it covered. Null or empty intervals are left out.
 
-    Intervals are united per stretch of positions first, whatever the group's size, and then the stretches' islands.
+    Intervals are cut at the borders of stretches of positions and united within each, whatever the group's size: of those that
+    start at one position the longest counts, so a stretch has as many rows as positions at most. What goes on are sums per
+    stretch, and the borders that an island reaches from either side, where two islands are one.
     """
-    spans = rows.select(group, F.col(a).alias("a"), F.col(b).alias("b")).where("a < b").withColumn("t", F.floor(F.col("a") / stretch))
-    islands = _union(_union(spans, [group, "t"]).drop("t"), [group])
-    out = islands.groupBy(group).agg(F.sum(F.col("b") - F.col("a")).alias("couvert"), F.count(F.lit(1)).alias("iles"), (F.max("b") - F.min("a")).alias("etendue"))
+    spans = rows.select(group, F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a < b").groupBy(group, "a").agg(F.max("b").alias("b"))
+    t = F.explode(F.sequence(F.floor(F.col("a") / stretch), F.floor((F.col("b") - 1) / stretch)))
+    cuts = spans.withColumn("t", t).select(group, "t", F.greatest("a", F.col("t") * stretch).alias("a"), F.least("b", (F.col("t") + 1) * stretch).alias("b"))
+    before = F.max("b").over(Window.partitionBy(group, "t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = cuts.withColumn("haut", before)
+    per = fresh.groupBy(group, "t").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("haut", F.col("a"))))).alias("couvert"), F.count_if(F.col("haut").isNull() | (F.col("a") > F.col("haut"))).alias("iles"), F.min("a").alias("a"), F.max("b").alias("b"))
+    edges = F.array_compact(F.array(F.when(F.col("a") == F.col("t") * stretch, F.col("t")), F.when(F.col("b") == (F.col("t") + 1) * stretch, F.col("t") + 1)))
+    per = cut(per.withColumn("bords", edges))
+    joined = per.select(group, F.explode("bords").alias("bord")).groupBy(group, "bord").count().where("count = 2").groupBy(group).agg(F.count(F.lit(1)).alias("joints"))
+    out = per.groupBy(group).agg(F.sum("couvert").alias("couvert"), F.sum("iles").alias("iles"), (F.max("b") - F.min("a")).alias("etendue"))
+    same = out[group].eqNullSafe(joined[group])
+    out = out.join(joined, same, "left").select(out[group], "couvert", (F.col("iles") - F.coalesce("joints", F.lit(0))).alias("iles"), "etendue")
     return out.withColumn("part", F.round(F.col("couvert") / F.col("etendue"), 6))
 
 

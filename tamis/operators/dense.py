@@ -1,4 +1,4 @@
-"""Exact search over vectors: each batch of rows against a block of queries, as one matrix product."""
+"""Exact search over vectors: blocks of rows against blocks of queries, each pair as one matrix product."""
 
 from __future__ import annotations
 
@@ -13,70 +13,71 @@ from tamis.functions.vectors import dot
 from tamis.operators.lexical import top
 from tamis.session import cut, small
 
-BLOCK = 4_096
+#: Vectors in a block of queries, and in a block of rows.
+BLOCK, ROWS = 4_096, 16_384
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+def _blocks(df: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """`df` as blocks of at most `size` vectors: their keys and the matrix as bytes. Made where the rows are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        vecs: list = []
 
-def _block(rows: DataFrame, key: str, vector: str, ids: list, q: np.ndarray, query: str, k: int, itself: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((np.asarray(ids), q))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([np.concatenate(keys)], pa.list_(pa.int64())), pa.array([np.concatenate(vecs).tobytes()], pa.binary())], list(names))
+            keys.clear()
+            vecs.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, mat = shared.value
-        best = [np.empty((len(names), 0)), np.empty((len(names), 0), np.int64)]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key_of, x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
-            s = np.round(mat @ x.T, 6) + 0.0
-            if not itself:
-                s[names[:, None] == key_of[None, :]] = -np.inf
-            score, keys = np.hstack((best[0], s)), np.hstack((best[1], np.broadcast_to(key_of, s.shape)))
-            order = np.lexsort((keys, -score))[:, :k]
-            best = [np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)]
-        ok = best[0] > -np.inf
-        at = np.nonzero(ok)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(names[at], pa.int64()), pa.array(best[1][ok], pa.int64()), pa.array(best[0][ok], pa.float64())], [query, key, "cos"])
-
-    return rows.mapInArrow(run, f"`{query}` bigint, `{key}` bigint, cos double")
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                if keys and sum(map(len, keys)) + len(part) > size:
+                    yield flush()
+                keys.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                vecs.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+        if keys:
+            yield flush()
+
+    return df.select(F.col(key).cast("bigint"), vector).mapInArrow(run, f"{names[0]} array<bigint>, {names[1]} binary")
 
 
 def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int = 60, itself: bool = True, block: int = BLOCK) -> DataFrame:
     """`query`, `key`, `cos`, `rang`: the `k` rows of the largest inner product for each query, exactly; ties by key.
 
-    Vectors are taken as normalised. Queries go out in blocks of `block`, each of which passes once over the rows and
-    sends `k` candidates per task. Rows and queries with a null or differently long vector are left out. `itself` says
-    whether a query may find the row of its own key.
+    Vectors are taken as normalised. Rows and queries become blocks where they are, every block of queries (at most `block`)
+    meets every block of rows in some task, and of each such task only `k` candidates a query go on; none passes through
+    the driver. If the queries' blocks are too large to be broadcast, the tasks are the pairs of their partitions. Rows and
+    queries with a null key or vector, or one of another length than the first query's, are left out. `itself` says whether a
+    query may find the row of its own key.
     """
     first = queries.where(F.col(query_vector).isNotNull() & F.col(query).isNotNull()).select(query, query_vector)
     shape = first.select(F.size(query_vector).alias("n")).first()
-    if shape is None:
+    if shape is None or not shape.n:
         return rows.sparkSession.createDataFrame([], f"`{query}` bigint, `{key}` bigint, cos double, rang int")
-    fits = rows.where(F.col(key).isNotNull() & (F.size(vector) == shape.n)).select(key, vector)
-    parts: list[DataFrame] = []
-    ids: list = []
-    vecs: list = []
-
-    def send() -> None:
-        parts.append(_block(fits, key, vector, list(ids), np.array(vecs, np.float64), query, k, itself))
-        ids.clear()
-        vecs.clear()
-
-    for r in first.where(F.size(query_vector) == shape.n).toLocalIterator():
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == block:
-            send()
-            parts[-1] = cut(parts[-1])
-    if ids:
-        send()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top(found, query, key, "cos", k)
+    whole = lambda df, k, v: df.where(F.col(k).isNotNull() & (F.size(v) == shape.n) & ~F.exists(v, lambda x: x.isNull()))
+    asked = small(cut(_blocks(whole(first, query, query_vector), query, query_vector, block, ("q", "x"))))
+    pairs = _blocks(whole(rows, key, vector), key, vector, ROWS, ("i", "y")).crossJoin(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, list[np.ndarray]] = {}
+        for batch in batches:
+            for q, x, i, y in zip(*(batch.column(c) for c in ("q", "x", "i", "y"))):
+                ids, keys = np.asarray(q.values), np.asarray(i.values)
+                left, right = (np.frombuffer(m.as_py(), np.float64).reshape(-1, shape.n) for m in (x, y))
+                s = np.round(left @ right.T, 6) + 0.0
+                if not itself:
+                    s[ids[:, None] == keys[None, :]] = -np.inf
+                held = best.setdefault(ids.tobytes(), [ids, np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)])
+                score, of = np.hstack((held[1], s)), np.hstack((held[2], np.broadcast_to(keys, s.shape)))
+                order = np.lexsort((of, -score))[:, :k]
+                held[1:] = np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+        for ids, score, of in best.values():
+            ok = score > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(ok)[0]], pa.int64()), pa.array(of[ok], pa.int64()), pa.array(score[ok], pa.float64())], [query, key, "cos"])
+
+    return top(pairs.mapInArrow(run, f"`{query}` bigint, `{key}` bigint, cos double"), query, key, "cos", k)
 
 
 def all_cosines(rows: DataFrame, query_vector: list[float], key: str, vector: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.rulepack import STOP_WORDS
@@ -93,14 +93,47 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str,
     """`query`, `key`, `score`, `rang`: Okapi BM25 of each query against all `docs`, its `k` best.
 
     A query counts each of its terms once; documents that share none don't come out. Of the documents only counts of
-    the queries' terms are kept. An empty collection, or no queries, give no rows.
+    the queries' terms are kept. An empty collection, or no queries, give no rows. For many searches of one collection see
+    write_index().
     """
     terms = small(cut(query_terms(queries, query, query_text, stop)))
     both = cut(counted_for(docs, key, text, terms, stop))
-    stats = corpus_stats(both.where("terme is null")).first()
-    n, avgdl = stats.n, stats.avgdl or 1.0
-    rows = both.where("terme is not null")
+    return _scored(both.where("terme is not null"), corpus_stats(both.where("terme is null")), terms, query, key, k, k1, b)
+
+
+def _scored(rows: DataFrame, stats: DataFrame, terms: DataFrame, query: str, key: str, k: int, k1: float, b: float) -> DataFrame:
+    """The search over `rows`, the postings of the queries' `terms` (`query`, `terme`)."""
+    found = stats.first()
+    n, avgdl = found.n, found.avgdl or 1.0
     df = small(cut(rows.groupBy("terme").agg(F.count(F.lit(1)).alias("df"))))
     weight = idf(F.col("df"), n) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = rows.join(df, "terme").join(terms, "terme").groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
     return top(scored, query, key, "score", k)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("terme"), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str, stop: tuple[str, ...] = STOP_WORDS, buckets: int = 256, parts: int = 4) -> None:
+    """Writes the postings of `docs` under `path`, in a folder per bucket of terms and there in their order, and the corpus's
+    statistics. A search then reads the buckets of its terms only, and in them the row groups that may hold one. A bucket lies
+    in `parts` files by document, so that a frequent term is no task's alone; more terms or documents want more of both."""
+    both = cut(counted(docs, key, text, stop))
+    rows = both.where("terme is not null").withColumn("seau", _bucket(buckets))
+    rows.repartition("seau", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("seau", "terme").write.mode("overwrite").partitionBy("seau").parquet(f"{path}/postings")
+    corpus_stats(both.where("terme is null")).withColumn("seaux", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, query_text: str, key: str = "i", k: int = 60, k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """search() over what write_index() wrote: no text is read."""
+    stats = spark.read.parquet(f"{path}/corpus")
+    terms = cut(query_terms(queries, query, query_text, stop))
+    asked = terms.select("terme", _bucket(stats.first().seaux).alias("seau")).distinct()
+    rows = spark.read.parquet(f"{path}/postings")
+    few = asked.limit(1_001).collect()
+    if len(few) <= 1_000:
+        rows = rows.where(F.col("seau").isin([r.seau for r in few]) & F.col("terme").isin([r.terme for r in few]))
+    else:
+        rows = rows.join(small(asked), ["seau", "terme"], "left_semi")
+    return _scored(cut(rows.select(key, "terme", "tf", "dl")), stats, small(terms), query, key, k, k1, b)
