@@ -166,9 +166,16 @@ def id_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def page_order(rows: DataFrame, group: str, order: str, page: str) -> DataFrame:
-    """`group`, `reculs`: how often the page number goes down along `order`."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.where(F.col(group).isNotNull() & F.col(page).isNotNull()).withColumn("__p", F.lag(page).over(w)).groupBy(group).agg(F.count_if(F.col(page) < F.col("__p")).alias("reculs"))
+    """`group`, `reculs`: how often the page number goes down along `order`, whose values are distinct.
+
+    Rows are sorted globally by range, so a large group lies across partitions; each partition counts within itself, and of
+    its groups' first and last rows only meet the next partition's."""
+    known = rows.where(F.col(group).isNotNull() & F.col(page).isNotNull()).select(group, order, page)
+    sorted_rows = cut(known.repartitionByRange(group, order)).withColumn("__p", F.spark_partition_id())
+    before = F.lag(page).over(Window.partitionBy("__p", group).orderBy(order))
+    per = sorted_rows.withColumn("__l", before).groupBy(group, "__p").agg(F.count_if(F.col(page) < F.col("__l")).alias("n"), F.min_by(page, order).alias("f"), F.max_by(page, order).alias("l"))
+    edge = (F.col("f") < F.lag("l").over(Window.partitionBy(group).orderBy("__p"))).cast("int")
+    return per.withColumn("e", F.coalesce(edge, F.lit(0))).groupBy(group).agg(F.sum(F.col("n") + F.col("e")).alias("reculs"))
 
 
 def profiler_scores(tok_s: float, reference: float, rss_mb: float, limit_gb: float, unit: int = 1024) -> tuple[float, float]:

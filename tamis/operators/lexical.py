@@ -59,6 +59,12 @@ def counted_for(docs: DataFrame, key: str, text: str, terms: DataFrame, stop: tu
     return rows.where("terme is null").unionByName(rows.join(wanted, "terme", "left_semi").select(*rows.columns))
 
 
+def posting_lists(posting: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """`terme`, `bloc`, `liste`: the postings of each term as lists of structs (`key`, `tf`) in order of the key, one list per
+    `width` keys, so that no list grows with the collection. `key` is a number."""
+    return posting.groupBy("terme", F.floor(F.col(key) / width).alias("bloc")).agg(F.sort_array(F.collect_list(F.struct(key, "tf"))).alias("liste"))
+
+
 def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     """One row: `n` documents, `avgdl` (0 if there are none)."""
     return doc_lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
