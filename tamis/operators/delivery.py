@@ -9,13 +9,13 @@ from tamis.session import cut
 
 #: Bits of one map: that many (4 KB) make a row of the table of maps.
 MAP_BITS = 32_768
-#: Bits of all maps together: 16 MB at most, whatever the data, as maps without a bit don't exist.
-BITS = 1 << 27
+#: Bits of all maps together at most: 16 MB, whatever the data.
+MOST_BITS = 1 << 27
 
 
-def _place(key: list[str], bits: int) -> tuple[Column, Column]:
-    """(number of the map, bit in it) of a row's key."""
-    at = F.pmod(F.xxhash64(*key), F.lit(bits))
+def _place(digest: Column, bits: int) -> tuple[Column, Column]:
+    """(number of the map, bit in it) of a key's digest."""
+    at = F.pmod(digest, F.lit(bits))
     return F.shiftright(at, 15).cast("int"), at % MAP_BITS
 
 
@@ -25,25 +25,30 @@ def _set(maps: str, bit: Column) -> Column:
     return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame | None = None, bits: int = BITS) -> DataFrame:
+def first_delivery(df: DataFrame, key: list[str], by: str, key_rows: DataFrame | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """One row of each `key`: that with the smallest `by` (nulls last; further ties by the whole row's hash).
 
-    Only keys are shuffled to find those delivered more than once. Hashes of these set bits in maps of `bits` bits in all,
-    which every task gets: a row whose bit isn't set is the only one of its key and stays where it is; the others are reduced
+    Only keys are shuffled to find those delivered more than once. Hashes of these set bits in maps, 256 bits a key and
+    `most_bits` at most, which every task gets: a row whose bit isn't set is the only one of its key and stays where it is; the others are reduced
     to one per key by an aggregation that combines before the shuffle. Neither side of a join is ever a list of keys, whatever
-    their number; with very many repeated keys more single rows hit a bit by chance and take the second way (one in a hundred
-    at a million repeated keys, one in ten at 14 million), with the same result. Rows whose key has a null are kept as they
+    their number; with very many repeated keys more single rows hit a bit by chance and take the second way (one in 256
+    up to half a million repeated keys, one in ten at 14 million), with the same result. Rows whose key has a null are kept as they
     are, for nothing says that they are the same. Empty input gives empty output; columns are kept, whatever their names.
     """
     null = F.lit(False)
     for k in key:
         null = null | F.col(k).isNull()
     again = (key_rows if key_rows is not None else df).select(*key).where(~null).groupBy(*key).count().where("count > 1")
-    number, bit = _place(key, bits)
+    again = cut(again.select(F.xxhash64(*key).alias("h")))
+    repeated, bits = again.count(), MAP_BITS
+    while bits < min(256 * repeated, most_bits):
+        bits *= 2
+    number, bit = _place(F.xxhash64(*key), bits)
     n, m = "__n", "__m"
     while {n, m} & set(df.columns):
         n, m = n + "_", m + "_"
-    maps = F.broadcast(cut(again.groupBy(number.alias(n)).agg(F.bitmap_construct_agg(bit).alias(m))))
+    its_number, its_bit = _place(F.col("h"), bits)
+    maps = F.broadcast(again.groupBy(its_number.alias(n)).agg(F.bitmap_construct_agg(its_bit).alias(m)))
     rows = df.withColumn(n, number).join(maps, n, "left")
     hit = _set(m, bit) & ~null
     stay, many = rows.where(~hit).select(*df.columns), rows.where(hit)
