@@ -243,7 +243,8 @@ def vocabulary(texts: DataFrame, col: str, size: int = 20_000, table_rows: int =
         yield flush()
 
     counts = texts.select(col).mapInArrow(count, "mot string, n bigint").groupBy("mot").agg(F.sum("n").alias("n"))
-    return tuple(r.mot for r in counts.orderBy(F.desc("n"), "mot").limit(size).collect())
+    top = cut(counts.orderBy(F.desc("n"), "mot").limit(size))  # merged in a task, so that the driver gets one list of `size`
+    return tuple(r.mot for r in sorted(top.collect(), key=lambda r: (-r.n, r.mot)))
 
 
 DIGESTS = ("forme_a", "forme_b", "brut_a", "brut_b")
