@@ -128,15 +128,16 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, stop: tuple[str
     both = cut(counted(docs, key, text, stop))
     rows = both.where("terme is not null").withColumn("seau", _bucket(buckets))
     rows.repartition("seau", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("seau", "terme").write.mode("overwrite").partitionBy("seau").parquet(f"{path}/postings")
-    corpus_stats(both.where("terme is null")).withColumn("seaux", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus_stats(both.where("terme is null")).withColumns({"seaux": F.lit(buckets), "cle": F.lit(both.schema[0].dataType.simpleString())}).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, query_text: str, key: str = "i", k: int = 60, k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """search() over what write_index() wrote: no text is read."""
     stats = spark.read.parquet(f"{path}/corpus")
     terms = cut(query_terms(queries, query, query_text, stop))
-    asked = terms.select("terme", _bucket(stats.first().seaux).alias("seau")).distinct()
-    rows = spark.read.parquet(f"{path}/postings")
+    known = stats.first()
+    asked = terms.select("terme", _bucket(known.seaux).alias("seau")).distinct()
+    rows = spark.read.schema(f"`{key}` {known.cle}, terme string, tf int, dl int, seau int").parquet(f"{path}/postings")
     few = asked.limit(1_001).collect()
     if len(few) <= 1_000:
         rows = rows.where(F.col("seau").isin([r.seau for r in few]) & F.col("terme").isin([r.terme for r in few]))
