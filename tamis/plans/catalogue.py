@@ -84,10 +84,10 @@ def hybrid_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.restrict(kept, _once(spark, sf_dir, "chunks", "regime"))
 
 
-def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _live(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
     """Fused candidates from texts and vectors: BM25 over all passages, inner products over all passages that have a vector. The
     tables hold no vectors of questions; that of number `ligne` stands for them."""
-    q = _once(spark, sf_dir, "qcm", "requete").where("ligne % 100 = 0").select("ligne", "requete")
+    q = _once(spark, sf_dir, "qcm", "requete").where(F.col("ligne") % every == 0).select("ligne", "requete")
     v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "embedding")
     chunks = cut(_once(spark, sf_dir, "chunks", "doc", "off", "texte").select("i", fusion.doc_key(F.col("doc")).alias("doc"), "off", "texte"))
     words = lexical.search(chunks, q, "i", "texte", "ligne", "requete")
@@ -102,8 +102,8 @@ def hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, sf_dir).select("ligne", "i", "rang_bm25", "rang_dense", "penalite", F.round("rrf", 6).alias("rrf"))
 
 
-def hybrid_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = fusion.kept_rows(fusion.select(_live(spark, sf_dir), "ligne"), "ligne")
+def hybrid_live(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
+    kept = fusion.kept_rows(fusion.select(_live(spark, sf_dir, every), "ligne"), "ligne")
     return kept.select("ligne", "i", F.col("rang").cast("bigint").alias("rang"), "doc", F.round("rrf", 6).alias("rrf"))
 
 
