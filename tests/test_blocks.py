@@ -46,3 +46,12 @@ def test_keys_of_strings_and_blocks_of_few_documents(spark):
     docs = docs.selectExpr("concat('d', lpad(i, 4, '0')) AS i", "texte")
     want = sorted(map(tuple, lexical.search(docs, asked, "i", "texte", "ligne", "requete", 10).collect()))
     assert sorted(map(tuple, lexical.search(docs.repartition(43), asked, "i", "texte", "ligne", "requete", 10).collect())) == want and len(want) == 120
+
+
+def test_index_keeps_packed_lists_not_a_row_per_posting(spark, kept, tmp_path):
+    docs, asked = texts(spark, 1_000)
+    lexical.write_index(docs, "i", "texte", str(tmp_path / "x"), buckets=4, parts=2)
+    rows = spark.read.parquet(str(tmp_path / "x" / "postings")).count()
+    assert rows < 500 and sum(df.count() for df in kept) < 500
+    got = lexical.search_index(spark, str(tmp_path / "x"), asked, "ligne", "requete", k=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.search(docs, asked, "i", "texte", "ligne", "requete", 10).collect()))
