@@ -1,6 +1,7 @@
 import pytest
 
 from tamis.operators import segment
+from tamis.plans import catalogue
 
 BODY = "Une phrase assez longue pour une page du document, et plus encore."
 
@@ -16,3 +17,8 @@ def test_odd_marks_and_long_documents(spark, marker):
     assert [r.page for r in got if r.k == 2] == list(range(3_000)) and {r.k for r in got} == {1, 2}
     assert all({1: odd, 2: long}[r.k][r.a : r.b] == r.texte == BODY for r in got)
     assert segment.pack(segment.page_segments(docs, "k", "text", marker=marker), ["k", "page"], "texte", "a").count() == 3_003
+
+
+def test_packed_chunks_of_a_page_whose_number_is_no_int(spark, tmp_path):
+    spark.createDataFrame([(1, f"[[page 99999999999]]\n{BODY}\n[[page 2]]\n{BODY}")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.page, r.texte) for r in catalogue.packed_chunks(spark, str(tmp_path)).orderBy("a").collect()] == [(None, BODY), (2, BODY)]
