@@ -1,7 +1,7 @@
 import pytest
 
 from tamis.operators import segment
-from tamis.plans import catalogue
+from tamis.plans import catalogue, extra
 
 BODY = "Une phrase assez longue pour une page du document, et plus encore."
 
@@ -22,3 +22,8 @@ def test_odd_marks_and_long_documents(spark, marker):
 def test_packed_chunks_of_a_page_whose_number_is_no_int(spark, tmp_path):
     spark.createDataFrame([(1, f"[[page 99999999999]]\n{BODY}\n[[page 2]]\n{BODY}")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.page, r.texte) for r in catalogue.packed_chunks(spark, str(tmp_path)).orderBy("a").collect()] == [(None, BODY), (2, BODY)]
+
+
+def test_seen_pages_with_blanks_after_a_mark(spark, tmp_path):
+    spark.createDataFrame([(1, f"［[pаge ７]]{' ' * 200_000}\n{BODY}")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.page, r.texte) for r in extra.seen_pages(spark, str(tmp_path)).collect()] == [(7, BODY)]
