@@ -62,8 +62,11 @@ def test_hybrid_search_keeps_no_texts(spark, kept, tmp_path):
     at = datetime(2026, 1, 1)
     chunks = [(k, "d", (100 * k, 100 * k + 90), f"mil semis {'pluie' if k % 2 else 'sorgho'}", at) for k in range(6)]
     spark.createDataFrame(chunks, "i bigint, doc string, off struct<a: bigint, b: bigint>, texte string, charge_le timestamp").write.parquet(str(tmp_path / "chunks.parquet"))
-    spark.createDataFrame([(1, "pluie", at), (2, "sorgho", at)], "ligne bigint, requete string, recu_le timestamp").write.parquet(str(tmp_path / "qcm.parquet"))
+    spark.createDataFrame([(1, "pluie", at), (2, "sorgho", at), (100, "pluie", at)], "ligne bigint, requete string, recu_le timestamp").write.parquet(str(tmp_path / "qcm.parquet"))
     spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r.ligne, r.rang): r.i for r in catalogue.hybrid_live(spark, str(tmp_path), every=1).collect()}
+    got = {(r.ligne, r.rang): r.i for r in catalogue.hybrid_live(spark, str(tmp_path), every=1).where("ligne < 100").collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 2, (2, 2): 0, (2, 3): 1}
     assert kept and not any("texte" in df.columns for df in kept)
+    kept.clear()
+    assert {(r.ligne, r.i): (r.rang_bm25, r.rang_dense) for r in catalogue.hybrid_fused(spark, str(tmp_path)).collect()} == {(100, 1): (1, None), (100, 3): (2, None), (100, 5): (3, None)}
+    assert kept and not any("texte" in df.columns for df in kept)
