@@ -70,3 +70,42 @@ def test_hybrid_search_keeps_no_texts(spark, kept, tmp_path):
     kept.clear()
     assert {(r.ligne, r.i): (r.rang_bm25, r.rang_dense) for r in catalogue.hybrid_fused(spark, str(tmp_path)).collect()} == {(100, 1): (1, None), (100, 3): (2, None), (100, 5): (3, None)}
     assert kept and not any("texte" in df.columns for df in kept)
+
+
+def test_a_task_passes_on_the_best_of_all_its_blocks(spark, monkeypatch):
+    docs, asked = texts(spark, 1_000)
+    want = sorted(map(tuple, lexical.search(docs, asked, "i", "texte", "ligne", "requete", 10).collect()))
+    passed = []
+
+    def top(scored, *args, real=lexical.top):
+        passed.append(scored.count())
+        return real(scored, *args)
+
+    monkeypatch.setattr(lexical, "top", top)
+    monkeypatch.setattr(lexical, "TASKS", 1, raising=False)
+    for held in (1_000_000, 50):
+        monkeypatch.setattr(lexical, "HELD", held, raising=False)
+        assert sorted(map(tuple, lexical.search(docs.repartition(43), asked, "i", "texte", "ligne", "requete", 10).collect())) == want
+    assert passed[0] < 1_000 and passed[0] <= passed[1] < 3_000
+
+
+def test_texts_stay_where_they_are_for_any_number_of_passages_found(spark, monkeypatch):
+    places = []
+
+    def fuse(a, b, chunks, *args, real=catalogue.fusion.fuse):
+        places.append(chunks)
+        return real(a, b, chunks, *args)
+
+    monkeypatch.setattr(catalogue.fusion, "fuse", fuse)
+    few = sorted(map(str, catalogue._live(spark, "/root/testdata/sf0.001", every=1).collect()))
+    monkeypatch.setattr(catalogue, "small", lambda df: df)
+    assert sorted(map(str, catalogue._live(spark, "/root/testdata/sf0.001", every=1).collect())) == few and len(few) > 100
+
+    def joins(node):
+        if node.nodeName() == "Join" and "broadcast" not in node.hint().toString():
+            yield node.left().output().toString()
+        for k in range(node.children().size()):
+            yield from joins(node.children().apply(k))
+
+    at = list(joins(places[1]._jdf.queryExecution().optimizedPlan()))
+    assert at and not any("texte" in x for x in at)
