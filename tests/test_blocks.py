@@ -109,3 +109,19 @@ def test_texts_stay_where_they_are_for_any_number_of_passages_found(spark, monke
 
     at = list(joins(places[1]._jdf.queryExecution().optimizedPlan()))
     assert at and not any("texte" in x for x in at)
+
+
+def three_questions(spark, at):
+    """Tables of six passages and questions 1, 2 and 100, of which the last has no vector."""
+    when = datetime(2026, 1, 1)
+    chunks = [(k, "d", (100 * k, 100 * k + 90), f"mil semis {'pluie' if k % 2 else 'sorgho'}", when) for k in range(6)]
+    spark.createDataFrame(chunks, "i bigint, doc string, off struct<a: bigint, b: bigint>, texte string, charge_le timestamp").write.parquet(f"{at}/chunks.parquet")
+    spark.createDataFrame([(1, "pluie", when), (2, "sorgho", when), (100, "pluie", when)], "ligne bigint, requete string, recu_le timestamp").write.parquet(f"{at}/qcm.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return str(at)
+
+
+def test_hybrid_fused_has_every_question(spark, tmp_path):
+    got = {(r.ligne, r.i): (r.rang_bm25, r.rang_dense) for r in catalogue.QUERIES["hybrid_fused"](spark, three_questions(spark, tmp_path)).collect()}
+    assert got == {(1, 1): (1, 1), (1, 3): (2, None), (1, 5): (3, None), (1, 2): (None, 2), (2, 0): (1, None), (2, 2): (2, 1), (2, 4): (3, None), (2, 1): (None, 2), (100, 1): (1, None), (100, 3): (2, None), (100, 5): (3, None)}
+    assert "ligne %" not in catalogue.ORACLE["hybrid_fused"]
