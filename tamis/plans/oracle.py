@@ -108,10 +108,9 @@ STRUCTURE = f"""CASE WHEN texte IS NULL THEN NULL WHEN len(regexp_extract_all(te
         WHEN len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_matches(x, {lit(tx.REFERENCE_LINE)}) OR (length(x) < 130 AND (regexp_matches(x, {lit(tx.REFERENCE_SIGN)}) OR regexp_matches(x, {lit(tx.REFERENCE_YEAR)}))))) >= 0.5 * len(ls) THEN 'bibliographie'
         WHEN regexp_matches(texte, {lit(tx.KEYWORDS)}) THEN 'mots_cles' ELSE '' END"""
 
-def live(some: str = "") -> str:
-    """CTEs up to g: both lists of the questions, fused; `some` leaves out questions."""
-    return f"""WITH RECURSIVE {CHUNKS}, {QCM}, b AS ({bm25(f"SELECT ligne, requete FROM qcm_1{some}")}),
-  vs AS (SELECT q.vec_id AS ligne, v.vec_id AS i, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id IN (SELECT ligne FROM qcm_1{some})),
+#: Both lists of every question, fused.
+LIVE = f"""WITH RECURSIVE {CHUNKS}, {QCM}, b AS ({bm25("SELECT ligne, requete FROM qcm_1")}),
+  vs AS (SELECT q.vec_id AS ligne, v.vec_id AS i, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id IN (SELECT ligne FROM qcm_1)),
   d AS (SELECT ligne, i, cos, row_number() OVER (PARTITION BY ligne ORDER BY cos DESC, i) AS rang FROM vs QUALIFY rang <= 60),
   l AS (SELECT i, {doc_key('doc')} AS doc, off, texte, list_filter(string_split(texte, chr(10)), lambda x: {strip('x')} <> '') AS ls FROM chunks_1),
   k AS (SELECT i, doc, off, {STRUCTURE} AS structure FROM l),
@@ -131,8 +130,8 @@ ORACLE: dict[str, str] = {
     "dense_margins": """WITH q AS (SELECT embedding AS e, label AS l FROM embeddings WHERE vec_id = 0), c AS (SELECT label = l AS r, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS cos FROM embeddings, q WHERE vec_id <> 0)
       SELECT round(max(cos) FILTER (r) - max(cos) FILTER (NOT r), 6) AS marge, round(median(cos) FILTER (r) - median(cos) FILTER (NOT r), 6) AS marge_medianes, count(*) FILTER (cos > (SELECT max(cos) FROM c WHERE r)) + 1 AS rang_premier FROM c""",
     "hybrid_rrf": f"WITH {CAND} SELECT ligne, i, CASE WHEN rang_bm25 IS NOT NULL OR rang_dense IS NOT NULL THEN round(coalesce(1.0 / (60 + rang_bm25 + coalesce(penalite, 0)), 0) + coalesce(1.0 / (60 + rang_dense + coalesce(penalite, 0)), 0), 6) END AS rrf_recalcule FROM cand_1",
-    "hybrid_fused": live() + " SELECT ligne, i, rang_bm25, rang_dense, penalite, round(rrf, 6) AS rrf FROM g",
-    "hybrid_live": live(" WHERE ligne % 100 = 0") + f", pool AS (SELECT *, row_number() OVER (PARTITION BY ligne ORDER BY rrf DESC, i) AS r FROM g), {greedy('pool')} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].doc AS doc, round(kept[k].rrf, 6) AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
+    "hybrid_fused": LIVE + " SELECT ligne, i, rang_bm25, rang_dense, penalite, round(rrf, 6) AS rrf FROM g",
+    "hybrid_live": LIVE + f", pool AS (SELECT *, row_number() OVER (PARTITION BY ligne ORDER BY rrf DESC, i) AS r FROM g), {greedy('pool')} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].doc AS doc, round(kept[k].rrf, 6) AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
     "hybrid_selected": f"WITH RECURSIVE {POOL} SELECT ligne, kept[k].i AS i, k AS rang, kept[k].rrf AS rrf FROM (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS k FROM fin)",
     "hybrid_committed": f"WITH RECURSIVE {POOL}, k AS (SELECT ligne, kept, unnest(range(1, len(kept) + 1)) AS rang FROM fin) SELECT ligne, kept[rang].i AS i, rang FROM k WHERE kept[rang].i IN (SELECT i FROM chunks_1 WHERE regime = 'committed')",
     "chunk_ids": "SELECT count(*) AS n, count(DISTINCT i) AS cles, min(i) AS mini, max(i) AS maxi, coalesce(min(i) = 0 AND max(i) = count(DISTINCT i) - 1, true) AS dense FROM chunks",

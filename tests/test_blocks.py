@@ -125,3 +125,9 @@ def test_hybrid_fused_has_every_question(spark, tmp_path):
     got = {(r.ligne, r.i): (r.rang_bm25, r.rang_dense) for r in catalogue.QUERIES["hybrid_fused"](spark, three_questions(spark, tmp_path)).collect()}
     assert got == {(1, 1): (1, 1), (1, 3): (2, None), (1, 5): (3, None), (1, 2): (None, 2), (2, 0): (1, None), (2, 2): (2, 1), (2, 4): (3, None), (2, 1): (None, 2), (100, 1): (1, None), (100, 3): (2, None), (100, 5): (3, None)}
     assert "ligne %" not in catalogue.ORACLE["hybrid_fused"]
+
+
+def test_hybrid_live_has_every_question(spark, tmp_path):
+    got = {(r.ligne, r.rang): r.i for r in catalogue.QUERIES["hybrid_live"](spark, three_questions(spark, tmp_path)).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 2, (2, 2): 0, (2, 3): 1, (100, 1): 1, (100, 2): 3, (100, 3): 5}
+    assert "ligne %" not in catalogue.ORACLE["hybrid_live"]
