@@ -131,3 +131,20 @@ def test_hybrid_live_has_every_question(spark, tmp_path):
     got = {(r.ligne, r.rang): r.i for r in catalogue.QUERIES["hybrid_live"](spark, three_questions(spark, tmp_path)).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 2, (2, 2): 0, (2, 3): 1, (100, 1): 1, (100, 2): 3, (100, 3): 5}
     assert "ligne %" not in catalogue.ORACLE["hybrid_live"]
+
+
+def test_many_queries_are_dealt_out_and_meet_all_blocks(spark, monkeypatch):
+    docs, asked = texts(spark, 1_000)
+    want = sorted(map(tuple, lexical.search(docs, asked, "i", "texte", "ligne", "requete", 10).collect()))
+    passed = []
+
+    def top(scored, *args, real=lexical.top):
+        passed.append(scored.count())
+        return real(scored, *args)
+
+    monkeypatch.setattr(lexical, "top", top)
+    monkeypatch.setattr(lexical, "QUERIES", 5)
+    for often in (50, 1):  # with rows for frequent terms, and with none
+        monkeypatch.setattr(lexical, "OFTEN", often, raising=False)
+        assert sorted(map(tuple, lexical.search(docs.repartition(43), asked, "i", "texte", "ligne", "requete", 10).collect())) == want
+    assert max(passed) < 500
